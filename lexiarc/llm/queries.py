@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_duplicates, term_counts, uniform_text
+from . import format_duplicates, similar_vectors, term_counts, uniform_text
 from .common import read
 
 
+# ---- problem 2 --------------------------------------------------------------------------------
+def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = (("term", "terminology"), ("page", "pages"))
+    parts = [similar_vectors.vectors(read(spark, sf_dir, table), "id", "embedding", kind) for kind, table in kinds]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_vectors.neighbours(_all_vectors(spark, sf_dir), 5, min_cosine=0.92)
+    return similar_vectors.mutual_pairs(found).withColumnRenamed("kind", "record_kind")
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every record whose id is divisible by 20, among all records."""
+    out = similar_vectors.neighbours(_all_vectors(spark, sf_dir), 5, queries=F.col("id") % 20 == 0, options=similar_vectors.Options(max_cells=24, probes=12, shortlist=150, books=6, book_size=256))
+    return out.select(F.col("kind").alias("record_kind"), "id", "other", F.round("cosine", 6).alias("cosine"))
+
+
 # ---- problem 3 --------------------------------------------------------------------------------
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (("term", "terminology", "term"), ("page", "pages", "original_content"))
@@ -49,7 +67,7 @@ def p5_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("value").alias("token"), "occurrences", F.col("records").alias("n_pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

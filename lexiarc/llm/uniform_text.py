@@ -201,9 +201,9 @@ def uniform_text(df: DataFrame, record: str, text: str) -> DataFrame:
     return texts.select("record", "text", rebuilt.alias("plain_text"))
 
 
-def deviating(spark_df: DataFrame, record: str, text: str) -> DataFrame:
+def deviating(df: DataFrame, record: str, text: str) -> DataFrame:
     """Ids of the records whose text isn't in the uniform form (``uniform_text`` without rebuilding texts)."""
-    rows = spark_df.select(F.col(record).cast("long").alias("record"), F.col(text).alias("text")).where(F.col("record").isNotNull() & F.col("text").rlike(_SUSPECT)).distinct()
+    rows = df.select(F.col(record).cast("long").alias("record"), F.col(text).alias("text")).where(F.col("record").isNotNull() & F.col("text").rlike(_SUSPECT)).distinct()
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     pieces = rows.select("record", "text_key", F.posexplode(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))).alias("piece_no", "piece")).where(F.col("piece").rlike(_SUSPECT))
     return uniform_pieces(pieces, ["record", "text_key", "piece_no"], "piece").select("record").distinct()

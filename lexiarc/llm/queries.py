@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_duplicates, similar_vectors, term_counts, uniform_text
+from . import cut_texts, format_duplicates, similar_vectors, term_counts, uniform_text
 from .common import read
 
 
@@ -67,7 +67,33 @@ def p5_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("value").alias("token"), "occurrences", F.col("records").alias("n_pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens)}
+# ---- problem 7 --------------------------------------------------------------------------------
+_TRANSLATIONS = ("en_content", "ar_content")
+
+
+def _pages_with_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = read(spark, sf_dir, "doc_catalog").select(F.col("id").alias("document_id"), F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("collection")).dropDuplicates(["document_id"])
+    pages = read(spark, sf_dir, "pages").select("id", "document_id", "original_content", *_TRANSLATIONS)
+    return pages.join(catalog, "document_id", "left")
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages_with_collection(spark, sf_dir)
+    parts = [cut_texts.cut_texts(pages, "id", field, "original_content", "collection").withColumn("field_name", F.lit(field)) for field in _TRANSLATIONS]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir).where("cut").select(F.col("record").alias("page_id"), "field_name")
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per collection and field: texts, cut texts and their share."""
+    n, cut = F.count(F.lit(1)), F.count_if("cut")
+    return _cut(spark, sf_dir).groupBy("collection", "field_name").agg(n.alias("n_texts"), cut.alias("n_cut"), F.round(cut / n, 6).alias("share_cut"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

@@ -49,7 +49,7 @@ class Options:
     """
 
     dim: int = 64
-    sample_rows: int = 40_000
+    sample_rows: int = 24_000
     cell_mean: int = 400
     max_cells: int = 4096
     cell_rows: int = 6000
@@ -227,7 +227,8 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _visits(batch, *held.value, options)
+            for s in range(0, batch.num_rows, 1024):  # bounds the hypotheses held at once
+                yield _visits(batch.slice(s, 1024), *held.value, options)
 
     def search(table: pa.Table) -> pa.Table:
         return _search_cell(table, held.value[0], k, min_cosine, options)
@@ -283,7 +284,7 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
         codes = _matrix(base["codes"], 1 + len(books.others), "int32")
         norms, errors = np.maximum(base["norm"].to_numpy(), np.float32(1e-6)), base["err"].to_numpy()
         center = books.first[codes[0, 0]]
-        block = max(1, min(2048, 8_000_000 // len(ids)))
+        block = max(1, min(1024, 1_000_000 // len(ids)))
         for s in range(0, len(queries), block):
             q = queries[s : s + block]
             # all stored vectors share their first code: its table entry is one column

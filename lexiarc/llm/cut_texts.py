@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
 from .transliterate import code
 
 _END = r"[.!?؟。۔…][)\]}\"'»”’]*\s*$"
@@ -25,8 +26,12 @@ _ITEM = r"^\s*([-*•‣▪]|\d{1,3}[.)])\s"
 _BROKEN = r"(\x{FFFD}+|&#?\w{0,8}|\\(u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|%[0-9A-Fa-f]?|<[^<>\n]{0,200})\s*$"
 _DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
+_BLANK = " \t\n\r\u000b\u000c\u00a0\u200e\u200f\ufeff"
+
+#: Closing lines are no longer than this.
+LONGEST_CLOSING = 80
 #: Least share of a field's unmarked last lines, for words and for patterns.
-PATTERN_SHARE = 0.005
+PATTERN_SHARE = 0.02
 #: A collection in which fewer texts than this end with a mark has no rule to break.
 RULE_SHARE = 0.5
 
@@ -53,18 +58,15 @@ def _numbers(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"\d+(?:[.٫]\d+)?"), F.lit(0))
 
 
-def endings(df: DataFrame, record: str, text: str, source_text: str, collection: str) -> DataFrame:
+def endings(df: DataFrame, record: str, text: str, source_text: str, source: str) -> DataFrame:
     """What the ending of each text shows, one row per record and text.
 
     NULL texts and those of white space only are left out.
     """
-    t = F.regexp_replace(F.col(text), r"\s+$", "")
-    rows = df.select(F.col(record).cast("long").alias("record"), F.col(collection).alias("collection"), F.col(text).alias("text"), F.col(source_text).alias("source")).where(F.col("record").isNotNull() & F.col("text").rlike(r"\S"))
-    rows = rows.withColumn("t", F.regexp_replace("text", r"\s+$", "")).drop("text")
-    rows = rows.withColumn("line", F.regexp_extract("t", r"([^\n\r]*)$", 1))
-    rows = rows.withColumn("head", F.expr("substring(t, 1, length(t) - length(line))"))
-    rows = rows.withColumn("paragraph", F.element_at(F.split("t", r"\r?\n[ \t]*\r?\n"), -1))
-    del t
+    rows = df.select(F.col(record).cast("long").alias("record"), F.col(source).alias("source_id"), F.rtrim(F.col(text), F.lit(_BLANK)).alias("t"), F.col(source_text).alias("source")).where(F.col("record").isNotNull() & F.col("t").isNotNull() & (F.length("t") > 0))
+    rows = rows.withColumn("line", F.ltrim(F.substring_index(F.replace("t", F.lit("\r"), F.lit("\n")), "\n", -1), F.lit(_BLANK)))
+    rows = rows.withColumn("before", F.expr("right(left(t, length(t) - length(line)), 200)"))
+    rows = rows.withColumn("paragraph", F.substring_index("t", "\n\n", -1)).withColumn("tail", F.right("t", F.lit(220)))
     item = F.col("line").rlike(_ITEM)
     # the item's counterpart is the source's item of the same number
     items = F.filter(F.split("t", r"\r?\n"), lambda x: x.rlike(_ITEM))
@@ -84,49 +86,54 @@ def endings(df: DataFrame, record: str, text: str, source_text: str, collection:
     item_cut = bare | F.when(there == here, False).otherwise(F.coalesce(shorter, F.lit(False)) | unlike | F.coalesce(lone, F.lit(False)))
 
     table = F.col("line").startswith("|")
-    marked = F.col("t").rlike(_END)
-    goes_on = F.lit(False)
+    marked = F.col("tail").rlike(_END)
     number = F.element_at(_numbers(F.regexp_extract("line", r"([\d٠-٩۰-۹,٬]+)\.$", 1)), 1)
     goes_on = F.col("line").rlike(r"[\d٠-٩۰-۹]\.$") & F.exists(_numbers("source"), lambda n: F.startswith(F.replace(n, F.lit("٫"), F.lit(".")), F.concat(number, F.lit(".")))) & ~F.array_contains(_numbers("source"), number)
+    kind = F.when(item, "item").when(table, "row").when(marked, "marked").otherwise("open")
+    # a line of its own below a finished line may be a closing line
+    own_line = F.col("before").rlike(r"[^\n]\r?\n[ \t]*\z") & F.rtrim(F.col("before"), F.lit(_BLANK)).rlike(_END + r"|\|$|(^|\n)\s*[-*•].*$") & (F.length("line") <= LONGEST_CLOSING)
     return rows.select(
-        "record", "collection", "line",
-        F.when(item, "item").when(table, "row").when(marked, "marked").otherwise("open").alias("kind"),
-        F.col("t").rlike(_BROKEN).alias("broken"),
+        "record", "source_id", kind.alias("kind"),
+        F.col("tail").rlike(_BROKEN).alias("broken"),
         _unclosed(F.col("paragraph")).alias("unclosed"),
         F.when(item, F.coalesce(item_cut, F.lit(True))).otherwise(False).alias("item_cut"),
-        (table & ~F.col("line").rlike(r"\|.*\|$")).alias("row_cut"),
+        F.when(table, ~F.col("line").rlike(r"\|.*\|$")).otherwise(False).alias("row_cut"),
         F.coalesce(goes_on, F.lit(False)).alias("goes_on"),
-        # a line of its own below a finished line may be a closing line
-        (F.col("head").rlike(r"[^\n]\r?\n\z") & F.regexp_replace("head", r"\s+$", "").rlike(_END + r"|\|$|(^|\n)\s*[-*•].*$")).alias("own_line"),
+        F.when((kind == "open") & own_line, F.col("line")).alias("closing_line"),
     )
 
 
 def _patterns(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with an open last line of its own, with its pattern; patterns that close texts."""
-    open_lines = ends.where("kind = 'open' and own_line").select("record", "line", F.posexplode(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"), F.lit(0))).alias("pos", "word"))
-    shaped = open_lines.withColumn("word", F.when(F.col("word").rlike(r"^\p{N}{4}$"), "0000").when(F.col("word").rlike(r"^\p{N}"), "0").otherwise(F.col("word")))
-    total = ends.where("kind = 'open' and own_line").agg(F.count(F.lit(1))).scalar()
+    """Possible closing lines with their pattern; the patterns that close texts."""
+    lines = ends.where("closing_line is not null")
+    shaped = lines.select("record", "closing_line", F.posexplode(F.regexp_extract_all("closing_line", F.lit(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"), F.lit(0))).alias("pos", "word"))
+    shaped = shaped.withColumn("word", F.when(F.col("word").rlike(r"^\p{N}{4}$"), "0000").when(F.col("word").rlike(r"^\p{N}"), "0").otherwise(F.col("word")))
+    least = lines.agg(F.count(F.lit(1)) * PATTERN_SHARE).scalar()
     # at most words-per-line / PATTERN_SHARE words can have this share
-    frequent = shaped.groupBy("word").agg(F.count_distinct("record").alias("n")).where((F.col("n") >= total * PATTERN_SHARE) & (F.col("n") > 1)).select("word", F.lit(True).alias("kept"))
+    frequent = shaped.groupBy("word").agg(F.count_distinct("record").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).select("word", F.lit(True).alias("kept"))
     shaped = shaped.join(F.broadcast(frequent), "word", "left").withColumn("word", F.when(F.col("kept"), F.col("word")).otherwise("N"))
-    patterns = shaped.groupBy("record", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("pattern"))
-    closing = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= total * PATTERN_SHARE) & (F.col("n") > 1) & F.col("pattern").rlike("[^N ]")).select("pattern")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
+    patterns = shaped.groupBy("record", "closing_line").agg(F.array_join(in_order, " ").alias("pattern"))
+    closing = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("n") > 1) & F.col("pattern").rlike("[^N ]")).select("pattern")
     return patterns, closing
 
 
-def cut_texts(df: DataFrame, record: str, text: str, source_text: str, collection: str) -> DataFrame:
+def cut_texts(df: DataFrame, record: str, text: str, source_text: str, source: str, collections: DataFrame) -> DataFrame:
     """``record``, ``collection`` and ``cut`` for every record with a text.
 
-    A record delivered twice has one row, and is cut if any of its texts is.
-    NULL, empty and blank texts have no row.  A NULL collection is a collection
-    of its own; a NULL source text just can't contradict.  Tables without rows
-    give none.
+    ``collections`` maps the column ``source`` of ``df`` to a ``collection``; it
+    is joined to what is left of the texts, not to the texts.  A record
+    delivered twice has one row, and is cut if any of its texts is.  NULL, empty
+    and blank texts have no row.  Records without a collection form one of their
+    own; a NULL source text just can't contradict.  Empty tables give no rows.
     """
-    ends = endings(df, record, text, source_text, collection)
+    ends = endings(df, record, text, source_text, source)
+    known = collections.select(F.col(source).alias("source_id"), "collection").dropDuplicates(["source_id"])
+    ends = cut_lineage(ends.join(known, "source_id", "left"))
     patterns, closing = _patterns(ends)
-    closed = patterns.join(F.broadcast(closing), "pattern", "left_semi").select("record", "line", F.lit(True).alias("closes")).distinct()
-    rules = ends.groupBy("collection").agg(F.avg(F.when(F.col("kind") == "marked", 1.0).when(F.col("kind") == "open", 0.0)).alias("ruled"))
-    ends = ends.join(closed, ["record", "line"], "left").join(rules.withColumnRenamed("collection", "c2"), F.col("collection").eqNullSafe(F.col("c2")), "left")
+    closed = patterns.join(F.broadcast(closing), "pattern", "left_semi").select("record", "closing_line", F.lit(True).alias("closes"))
+    rules = ends.groupBy(F.col("collection").alias("c2")).agg(F.avg(F.when(F.col("kind") == "marked", 1.0).when(F.col("kind") == "open", 0.0)).alias("ruled"))
+    ends = ends.join(closed, ["record", "closing_line"], "left").join(rules, F.col("collection").eqNullSafe(F.col("c2")), "left")
     unmarked = (F.col("kind") == "open") & F.col("closes").isNull() & (F.coalesce("ruled", F.lit(1.0)) >= RULE_SHARE)
     cut = F.col("broken") | F.col("unclosed") | F.col("item_cut") | F.col("row_cut") | F.col("goes_on") | unmarked
     return ends.groupBy("record").agg(F.min("collection").alias("collection"), F.max(cut).alias("cut"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cut_texts, format_duplicates, similar_vectors, term_counts, uniform_text
+from . import cut_texts, format_duplicates, packing, pieces, similar_vectors, term_counts, tokens, uniform_text
 from .common import read
 
 
@@ -71,15 +71,10 @@ def p5_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRANSLATIONS = ("en_content", "ar_content")
 
 
-def _pages_with_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = read(spark, sf_dir, "doc_catalog").select(F.col("id").alias("document_id"), F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("collection")).dropDuplicates(["document_id"])
-    pages = read(spark, sf_dir, "pages").select("id", "document_id", "original_content", *_TRANSLATIONS)
-    return pages.join(catalog, "document_id", "left")
-
-
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages_with_collection(spark, sf_dir)
-    parts = [cut_texts.cut_texts(pages, "id", field, "original_content", "collection").withColumn("field_name", F.lit(field)) for field in _TRANSLATIONS]
+    pages = read(spark, sf_dir, "pages")
+    collections = read(spark, sf_dir, "doc_catalog").select(F.col("id").alias("document_id"), F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("collection"))
+    parts = [cut_texts.cut_texts(pages, "id", field, "original_content", "document_id", collections).withColumn("field_name", F.lit(field)) for field in _TRANSLATIONS]
     return parts[0].unionByName(parts[1])
 
 
@@ -93,7 +88,34 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir).groupBy("collection", "field_name").agg(n.alias("n_texts"), cut.alias("n_cut"), F.round(cut / n, 6).alias("share_cut"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates)}
+# ---- problem 8 --------------------------------------------------------------------------------
+def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[int, int, int]]:
+    """The sizes of one purpose: a table of eight rows."""
+    rows = read(spark, sf_dir, "size_limits").where((F.col("purpose") == purpose) & (F.col("max_tokens") > 0)).orderBy("limit_id").collect()
+    return [(r["limit_id"], r["max_tokens"], r["overlap_tokens"] or 0) for r in rows]
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """limit_id, doc_id, part_no, n_tokens, container."""
+    sizes = tokens.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
+    packed = packing.pack(sizes, "record", "n_tokens", [(i, size) for i, size, _ in _limits(spark, sf_dir, "pack")])
+    return packed.select("limit_id", F.col("record").alias("doc_id"), "part_no", "n_tokens", "container")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per limit: containers, tokens and the share of their space that is used."""
+    limits = read(spark, sf_dir, "size_limits").select("limit_id", "max_tokens")
+    used = p8_containers(spark, sf_dir).groupBy("limit_id", "container").agg(F.sum("n_tokens").alias("n")).groupBy("limit_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("largest"))
+    return used.join(limits, "limit_id").select("limit_id", "n_containers", "n_tokens", "largest", F.round(F.col("n_tokens") / F.col("n_containers") / F.col("max_tokens"), 6).alias("fill"))
+
+
+# ---- problem 10 -------------------------------------------------------------------------------
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.split_texts(read(spark, sf_dir, "documents"), "doc_id", "text", _limits(spark, sf_dir, "cut"))
+    return cut.withColumnRenamed("record", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p10_pieces)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

@@ -298,10 +298,8 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
                 width = min(len(ids), max(options.shortlist, 2 * k + 1))
                 best = np.argpartition(-(score / norms), width - 1, axis=1)[:, :width] if width < len(ids) else np.tile(np.arange(width), (len(q), 1))
                 row, col = np.repeat(np.arange(len(q)), width), best.ravel()
-            exact = np.einsum("ij,ij->i", q[row].astype("float64"), x[col].astype("float64"))
+            row, col, exact = _exact(q, x, row, col, least)
             keep = ids[col] != query_ids[s + row]
-            if least is not None:
-                keep &= exact >= least
             row, col, exact = row[keep], col[keep], exact[keep]
             order = np.lexsort((ids[col], -exact, row))
             row, col, exact = row[order], col[order], exact[order]
@@ -312,6 +310,28 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
     return pa.Table.from_arrays([kinds, pa.array(q), pa.array(o), pa.array(c)], ["kind", "id", "other", "cosine"])
 
 
+def _exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates with their exact cosines; with ``least`` only those that reach it.
+
+    Single precision decides which candidates are worth double precision: as one
+    product of matrices where candidates are dense, else pair by pair in chunks,
+    so that memory doesn't grow with their number.
+    """
+    if least is not None:
+        if len(row) * 20 > len(q) * len(x):
+            rough = (q @ x.T)[row, col]
+        else:
+            rough = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 8192]], x[col[i : i + 8192]]) for i in range(0, len(row), 8192)] or [np.zeros(0)])
+        keep = rough >= least - 1e-5
+        row, col = row[keep], col[keep]
+    parts = [np.einsum("ij,ij->i", q[row[i : i + 8192]].astype("float64"), x[col[i : i + 8192]].astype("float64")) for i in range(0, len(row), 8192)]
+    exact = np.concatenate(parts) if parts else np.zeros(0)
+    if least is not None:
+        keep = exact >= least
+        row, col, exact = row[keep], col[keep], exact[keep]
+    return row, col, exact
+
+
 def _expanded(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Pairs of directions as pairs of records.
 

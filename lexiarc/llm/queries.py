@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cut_texts, format_duplicates, packing, pieces, similar_vectors, term_counts, tokens, uniform_text
+from . import cut_texts, format_duplicates, leaked_items, packing, pieces, similar_vectors, term_counts, tokens, uniform_text
 from .common import read
 
 
@@ -109,13 +109,29 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(limits, "limit_id").select("limit_id", "n_containers", "n_tokens", "largest", F.round(F.col("n_tokens") / F.col("n_containers") / F.col("max_tokens"), 6).alias("fill"))
 
 
+# ---- problem 9 --------------------------------------------------------------------------------
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items.leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("run >= 15").select(F.col("record").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: documents with a passage of it, and the longest run found."""
+    found = _leaks(spark, sf_dir).where("run >= 15").groupBy("item").agg(F.count(F.lit(1)).alias("n_documents"), F.max("run").alias("longest_run"))
+    items = read(spark, sf_dir, "eval_items").select("item_id", "task", "lang")
+    return items.join(found, items["item_id"] == found["item"], "left").select("item_id", "task", "lang", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+
+
 # ---- problem 10 -------------------------------------------------------------------------------
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces.split_texts(read(spark, sf_dir, "documents"), "doc_id", "text", _limits(spark, sf_dir, "cut"))
     return cut.withColumnRenamed("record", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cut_texts, format_duplicates, leaked_items, packing, pieces, similar_vectors, term_counts, tokens, uniform_text
+from . import cut_texts, format_duplicates, leaked_items, packing, pieces, scan_noise, similar_vectors, term_counts, tokens, uniform_text
 from .common import read
 
 
+# ---- problem 1 --------------------------------------------------------------------------------
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_noise.page_noise(read(spark, sf_dir, "pages"), "id", "document_id", "original_content", "ocr_model")
+    return found.withColumnRenamed("page", "page_id")
+
+
 # ---- problem 2 --------------------------------------------------------------------------------
 def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (("term", "terminology"), ("page", "pages"))
@@ -131,7 +137,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumnRenamed("record", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
 
 
 def boundaries(text: str) -> list[list[int]]:
-    """Where nodes of each level begin, in rising order: headings of level 1 to 6, blocks, lines, sentences, words."""
+    """Where nodes of the levels above sentences begin, in rising order: headings of level 1 to 6, blocks, lines."""
     headings: list[list[int]] = [[] for _ in range(6)]
     blocks, lines = [], []
     blank, kind = True, ""
@@ -63,26 +64,31 @@ def boundaries(text: str) -> list[list[int]]:
                 blocks.append(start)
             kind = now
         blank = False
-    return [*headings, blocks, lines, [m.end() for m in _SENTENCE.finditer(text)], [m.end() for m in _SPACE.finditer(text)]]
+    return [*headings, blocks, lines]
 
 
 class _Tokens:
     """A text's tokens: where each ends, and where the text can be cut between characters."""
 
     def __init__(self, enc, text: str) -> None:
-        self.ends: list[int] = []
-        self.clean: list[bool] = []
-        base = 0
-        for part in stretches(text):
-            at = base
-            for piece in enc.decode_tokens_bytes(enc.encode_ordinary(part)):
-                self.clean.append(piece[0] & 0xC0 != 0x80)
-                at += len(piece) if part.isascii() else sum(b & 0xC0 != 0x80 for b in piece)
-                self.ends.append(at)
-            base += len(part)
+        self.ids = [enc.encode_ordinary(part) for part in stretches(text)]
+        self.n = sum(map(len, self.ids))
 
     def __len__(self) -> int:
-        return len(self.ends)
+        return self.n
+
+    def locate(self, enc) -> None:
+        """Positions of the tokens; not needed for texts that are small enough."""
+        pieces = [p for ids in self.ids for p in enc.decode_tokens_bytes(ids)]
+        sizes = np.fromiter(map(len, pieces), "int64", self.n)
+        raw = np.frombuffer(b"".join(pieces), "uint8")
+        leads = (raw & 0xC0) != 0x80
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.clean = leads[starts].tolist()
+        self.ends = np.cumsum(leads)[starts + sizes - 1].tolist()
+        # tokens that are a space and the beginning of a word: the text is split there whatever stands before
+        after = raw[np.minimum(starts + 1, len(raw) - 1)]
+        self.words = np.flatnonzero((raw[starts] == 32) & (sizes > 1) & (after > 32)).tolist()
 
     def before(self, position: int) -> int:
         """Tokens that end at a character position or before it."""
@@ -91,42 +97,68 @@ class _Tokens:
     def position(self, token: int) -> int:
         return self.ends[token - 1] if token else 0
 
+    def count(self, enc, text: str, first: int, last: int) -> int:
+        """Tokens of the text between two token edges when it is encoded by itself.
 
-def _merged(parts: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+        Between the first and the last word that a space begins they are the
+        known ones; only what stands outside of these is encoded again.
+        """
+        i, j = bisect_left(self.words, first), bisect_left(self.words, last) - 1
+        start, end = self.position(first), self.position(last)
+        if i >= j:
+            return sum(len(enc.encode_ordinary(part)) for part in stretches(text[start:end]))
+        head, tail = self.words[i], self.words[j]
+        return len(enc.encode_ordinary(text[start : self.position(head)])) + tail - head + len(enc.encode_ordinary(text[self.position(tail) : end]))
+
+
+def _merged(parts: list[tuple[int, int, int]], room: int) -> list[tuple[int, int, int]]:
     out = [parts[0]]
-    for first, last in parts[1:]:
+    for first, last, level in parts[1:]:
         if last - out[-1][0] <= room:
-            out[-1] = (out[-1][0], last)
+            out[-1] = (out[-1][0], last, level)
         else:
-            out.append((first, last))
+            out.append((first, last, level))
     return out
 
 
-def tree_pieces(text: str, tokens: _Tokens, levels: list[list[int]], room: int) -> list[tuple[int, int]]:
-    """Token spans of at most ``room`` tokens each, together the whole text."""
+class _Levels:
+    """Where nodes of each level begin; found when a level is first asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.known = text, boundaries(text)
+
+    def __getitem__(self, level: int) -> list[int]:
+        while level >= len(self.known):
+            finer = _SENTENCE if len(self.known) == 8 else _SPACE
+            self.known.append([m.end() for m in finer.finditer(self.text)])
+        return self.known[level]
+
+
+def tree_pieces(tokens: _Tokens, levels: _Levels, room: int) -> list[tuple[int, int, int]]:
+    """Token spans of at most ``room`` tokens, together the whole text, each with the level of the node after it."""
 
-    def split(first: int, last: int, level: int) -> list[tuple[int, int]]:
+    def split(first: int, last: int, level: int, after: int) -> list[tuple[int, int, int]]:
         if last - first <= room:
-            return [(first, last)]
+            return [(first, last, after)]
         start, end = tokens.position(first), tokens.position(last)
-        for i in range(level, len(levels)):
+        for i in range(level, 10):
             marks = levels[i]
             inside = marks[bisect_right(marks, start) : bisect_left(marks, end)]
             # a token that begins with the white space before a node belongs to the node
             edges = sorted({t for t in map(tokens.before, inside) if first < t < last and tokens.clean[t]})
             if edges:
-                nodes = zip([first, *edges], [*edges, last])
-                return _merged([part for a, b in nodes for part in split(a, b, i + 1)], room)
+                nodes = zip([first, *edges], [*edges, last], [i] * len(edges) + [after])
+                return _merged([part for a, b, name in nodes for part in split(a, b, i + 1, name)], room)
         out = []
         while first < last:
             cut = min(last, first + room)
             while first + 1 < cut < last and not tokens.clean[cut]:
                 cut -= 1
-            out.append((first, cut))
+            out.append((first, cut, after if cut == last else 10))
             first = cut
         return out
 
-    return split(0, len(tokens), 0)
+    return split(0, len(tokens), 0, -1)
 
 
 def split_texts(df: DataFrame, record: str, text: str, limits: list[tuple[int, int, int]], path: str | None = None) -> DataFrame:
@@ -172,19 +204,17 @@ def pieces_of(enc, text: str, limits: list[tuple[int, int, int]]) -> Iterator[tu
     tokens = _Tokens(enc, text)
     if all(len(tokens) <= limit for _, limit, _ in limits):
         return
-    levels = boundaries(text)
-    strongest = {tokens.before(x): i for i, marks in reversed(list(enumerate(levels))) for x in marks}
+    tokens.locate(enc)
+    levels = _Levels(text)
     for limit_id, limit, overlap in limits:
         if len(tokens) <= limit:
             continue
         # three tokens for whole characters, and one for what is counted anew at a piece's edges
         room = limit - overlap - 4 if overlap else limit - 1
-        for number, (first, last) in enumerate(tree_pieces(text, tokens, levels, room)):
+        for number, (first, last, level) in enumerate(tree_pieces(tokens, levels, room)):
             begin = max(0, first - overlap)
             while begin and not tokens.clean[begin]:
                 begin -= 1
             start, end = tokens.position(begin), tokens.position(last)
-            piece = text[start:end]
-            size = sum(len(enc.encode_ordinary(part)) for part in stretches(piece))
-            name = "end" if last == len(tokens) else LEVELS[strongest.get(last, 10)]
-            yield limit_id, number, start, end, tokens.position(first) - start, size, name, piece
+            size = tokens.count(enc, text, begin, last)
+            yield limit_id, number, start, end, tokens.position(first) - start, size, "end" if level < 0 else LEVELS[level], text[start:end]

@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("page", "page_id")
 
 
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_noise.readable_pages(read(spark, sf_dir, "pages"), "id", "document_id", "original_content", "ocr_model")
+    return out.withColumnRenamed("page", "page_id")
+
+
 # ---- problem 2 --------------------------------------------------------------------------------
 def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (("term", "terminology"), ("page", "pages"))
@@ -137,7 +142,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumnRenamed("record", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

@@ -128,8 +128,9 @@ def _headers(lines: DataFrame) -> DataFrame:
     keyed = rows.where("key is not null")
     counted = keyed.groupBy("document", "key").agg(F.count_distinct("page").alias("pages"), F.max(F.col("side_no").isNotNull()).alias("with_number"))
     sizes = rows.groupBy("document").agg(F.count_distinct("page").alias("of"))
-    best = counted.groupBy("document").agg(F.max(F.struct("pages", "key")).alias("b")).where("b.pages > 1").select("document", F.col("b.key").alias("main"), F.col("b.pages").alias("main_pages"))
-    rows = rows.join(counted.where("pages > 1"), ["document", "key"], "left").join(best.join(sizes, "document"), "document", "left")
+    best = counted.groupBy("document").agg(F.max(F.struct("pages", "key", "with_number")).alias("b")).where("b.pages > 1").join(sizes, "document")
+    best = best.select("document", "of", F.when((F.col("b.pages") * 2 > F.col("of")) | (F.col("b.pages") > 2) | F.col("b.with_number"), F.col("b.key")).alias("main"))
+    rows = rows.join(counted.where("pages > 1"), ["document", "key"], "left").join(best, "document", "left")
     n_words = F.regexp_count("plain", F.lit(_WORD))
     returns = F.col("pages").isNotNull() & (F.col("side_no").isNotNull() | F.col("with_number") | (F.col("pages") * 2 > F.col("of")) | (n_words <= 7))
     # the document's main header with other misreadings; a header of three letters or less has no room for them
@@ -163,40 +164,40 @@ def _sequences(words: list[str]) -> Iterator[str]:
 
 
 def _undone(words: DataFrame, known: set[str]) -> DataFrame:
-    """Words with an impossible letter sequence that undoing one confusion removes."""
+    """``word`` and ``form``: words with an impossible letter sequence that undoing one confusion removes."""
     held = words.sparkSession.sparkContext.broadcast(known)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         possible = held.value
         fine = lambda w: all(s in possible for s in _sequences([w]))
 
-        def wrong(w: str) -> bool:
-            if len(w) < 4 or fine(w):
-                return False
+        def meant_by(w: str) -> str | None:
+            if fine(w):
+                return None
             for read, meant in UNDONE:
                 at = w.find(read)
                 while at >= 0:
-                    if fine(w[:at] + meant + w[at + len(read) :]):
-                        return True
+                    if fine(form := w[:at] + meant + w[at + len(read) :]):
+                        return form
                     at = w.find(read, at + 1)
-            return False
+            return None
 
         for batch in batches:
-            column = batch.column(0)
-            yield pa.RecordBatch.from_arrays([column.filter(pa.array([wrong(w) for w in column.to_pylist()], pa.bool_()))], ["word"])
+            found = [(w, form) for w in batch.column(0).to_pylist() if (form := meant_by(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["word", "form"])
 
-    return words.select("word").mapInArrow(check, "word string")
+    return words.select("word").mapInArrow(check, "word string, form string")
 
 
 def bad_words(pages: DataFrame) -> DataFrame:
-    """``page`` for every scanned page with a wrongly read character in a word."""
+    """Wrongly read words of scanned pages: ``page``, ``word``, the ``form`` meant (NULL if unknown) and the ``evidence``."""
     tokens = _tokens(pages)
     counts = cut_lineage(_counts(tokens))
     documents = pages.select("document", "native").distinct().groupBy("native").count().collect()
     n = {r["native"]: r["count"] for r in documents}
     n_native, n_scan = n.get(True, 0), n.get(False, 0)
     if not n_scan:
-        return pages.select("page").limit(0)
+        return pages.select("page", F.lit("").alias("word"), F.lit("").alias("form"), F.lit("").alias("evidence")).limit(0)
     # a misreading may stray into trusted text, but not at the rate of a word
     known = (F.col("df_native") > 0) & (F.col("df_native") * max(1, n_scan) >= 0.2 * F.col("df_scan") * max(1, n_native))
     counts = counts.withColumn("known", known).withColumn("df", F.col("df_native") + F.col("df_scan"))
@@ -205,29 +206,32 @@ def bad_words(pages: DataFrame) -> DataFrame:
     unknown = counts.where(~F.col("known"))
 
     # by the corpus: a form of the same skeleton in many more documents
-    leaders = counts.where(F.col("known") & (F.col("df") >= 20)).groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.max("df").alias("lead"))
-    grouped = unknown.select("word", "df", skeleton(F.col("word")).alias("skeleton")).join(leaders, "skeleton").where(F.col("lead") >= 15 * F.col("df")).select("word")
+    leaders = counts.where(F.col("known") & (F.col("df") >= 20)).groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.max("df").alias("lead"), F.max_by("word", F.struct("df", "word")).alias("form"))
+    grouped = unknown.select("word", "df", skeleton(F.col("word")).alias("skeleton")).join(leaders, "skeleton").where(F.col("lead") >= 4 * F.col("df")).select("word", "form")
     # letters and digits in one word, where both readings of the digits' look-alikes are common
-    mixed = unknown.where(F.col("word").rlike(r"^(?=.*[\p{L}])(?=.*\p{Nd})[\p{L}\p{M}01569]+$") & F.col("word").rlike(r"\p{L}.*[01569]|[01569].*\p{L}") | F.col("word").rlike(r"^\p{Nd}*[ol]\p{Nd}+$|^\p{Nd}+[ol]\p{Nd}*$")).select("word")
+    mixed = unknown.where(F.col("word").rlike(r"^(?=.*[\p{L}])(?=.*\p{Nd})[\p{L}\p{M}01569]+$") & F.col("word").rlike(r"\p{L}.*[01569]|[01569].*\p{L}") | F.col("word").rlike(r"^\p{Nd}*[ol]\p{Nd}+$|^\p{Nd}+[ol]\p{Nd}*$")).select("word", F.when(F.col("word").rlike(r"^[\p{Nd}ol]+$"), F.translate("word", "ol", "01")).alias("form"))
     # by letter sequences; three letters each, so their number is bounded by the alphabets
     trusted = counts.where(F.col("known") & ~F.col("word").rlike(r"\p{N}")).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
     grams = trusted.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("g")).groupBy("g").count()
     share = max(2, int(0.00002 * n_native))
     possible = {r["g"] for r in grams.where(F.col("count") >= share).collect()}
     undone = _undone(unknown.where(F.col("word").rlike(r"^[\x00-\x7Fà-ÿ]{4,30}$")), possible)
-    wrong = grouped.unionByName(mixed).unionByName(undone).distinct()
+    wrong = grouped.withColumn("evidence", F.lit("skeleton")).unionByName(mixed.withColumn("evidence", F.lit("digits"))).unionByName(undone.withColumn("evidence", F.lit("sequence")))
+    # of several the form with the broadest evidence: that of the skeleton, else of the digits, else of the sequences
+    rank = F.when(F.col("evidence") == "skeleton", 3).when(F.col("evidence") == "digits", 2).otherwise(1)
+    wrong = wrong.groupBy("word").agg(F.max(F.struct(rank, "evidence", "form")).alias("w")).select("word", "w.evidence", "w.form")
 
     # rare words per page
     rare = tokens.where(~F.col("native")).select("page", "document", "word").join(F.broadcast(frequent), "word", "left_anti").distinct()
     rare = cut_lineage(rare)
-    by_corpus = rare.join(wrong, "word", "left_semi").select("page")
+    by_corpus = rare.join(wrong, "word").select("page", "word", "form", "evidence")
     # by the document: another form of the skeleton that it uses on more pages
     strange = rare.join(unknown.select("word"), "word", "left_semi").withColumn("skeleton", skeleton(F.col("word")))
     uses = rare.groupBy("document", "word").agg(F.count_distinct("page").alias("uses")).withColumn("skeleton", skeleton(F.col("word")))
     lead = uses.groupBy("document", "skeleton").agg(F.max(F.struct("uses", "word")).alias("l"), F.count(F.lit(1)).alias("forms")).where("forms > 1 and l.uses > 1").select("document", "skeleton", F.col("l.uses").alias("lead"), F.col("l.word").alias("form"))
     own = uses.select("document", "word", "uses")
-    by_document = strange.join(lead, ["document", "skeleton"]).join(own, ["document", "word"]).where((F.length("word") > 4) & (F.col("form") != F.col("word")) & (F.col("lead") >= 2 * F.col("uses"))).select("page")
-    return by_corpus.unionByName(by_document).distinct()
+    by_document = strange.join(lead, ["document", "skeleton"]).join(own, ["document", "word"]).where((F.length("word") > 4) & (F.col("form") != F.col("word")) & (F.col("lead") >= 2 * F.col("uses"))).select("page", "word", "form", F.lit("document").alias("evidence"))
+    return by_corpus.unionByName(by_document)
 
 
 # ---- breaks ----------------------------------------------------------------------------------
@@ -272,3 +276,58 @@ def page_noise(df: DataFrame, record: str, document: str, page_text: str, model:
     for k in kinds[1:]:
         out = out.unionByName(k)
     return out.distinct()
+
+
+def readable_pages(df: DataFrame, record: str, document: str, page_text: str, model: str) -> DataFrame:
+    """The paragraphs of scanned pages, repaired: ``page``, ``paragraph_no`` from 0, ``text``.
+
+    Running headers and page numbers are left out, words joined over line ends
+    (compounds keep their hyphen), wrongly read words replaced by the form meant,
+    and lines joined to paragraphs, which end at blank lines, headings and list
+    items.  Pages that were not scanned, NULL and empty ones have no rows here; a
+    page delivered twice is returned once.
+    """
+    pages = _prepared(df, record, document, page_text, model)
+    scanned = pages.where(~F.col("native")).select("page", "document", plain(F.col("text")).alias("text")).dropDuplicates(["page"])
+    noise = _headers(outer_lines(pages.where(~F.col("native")))).where("header or alone").groupBy("page").agg(F.collect_set(F.trim(plain(F.col("line")))).alias("noise"))
+    own = broken_words(pages).groupBy("page").agg(F.collect_set(F.concat("left", "mark", "right")).alias("broken"))
+    first = F.row_number().over(Window.partitionBy("page", "word").orderBy("evidence", "form"))
+    forms = bad_words(pages).where("form is not null").withColumn("n", first).where("n = 1").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("word", "form"))).alias("forms"))
+
+    lines = scanned.join(noise, "page", "left").select("page", F.coalesce("noise", F.array().cast("array<string>")).alias("noise"), F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.trim("line"))
+    in_order = Window.partitionBy("page").orderBy("pos")
+    # noise is removed at the edges only: a line in the middle may say the same
+    edge = (F.sum((F.col("line") != "").cast("int")).over(in_order) <= 2) | (F.sum((F.col("line") != "").cast("int")).over(in_order.rowsBetween(0, Window.unboundedFollowing)) <= 2)
+    lines = lines.withColumn("drop", edge & F.array_contains("noise", F.col("line"))).where(~F.col("drop")).drop("noise", "drop")
+    item = F.col("line").rlike(r"^([-*•]|#{1,6}|\d{1,3}[.)])\s")
+    last = F.lag("line").over(in_order)
+    begins = (F.col("line") == "") | item | last.isNull() | (last == "") | last.rlike(r"^#{1,6}\s")
+    lines = lines.withColumn("paragraph", F.sum(begins.cast("int")).over(in_order)).where("line <> ''")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    blocks = lines.groupBy("page", "paragraph").agg(whole.alias("text"), F.min("pos").alias("pos"))
+    blocks = blocks.join(own, "page", "left").join(forms, "page", "left")
+    words = F.regexp_extract_all("text", F.lit(rf"{_WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
+
+    def joined(i: Column) -> Column:
+        """A line's end between two words: what stands for it."""
+        piece = F.get("pieces", i)
+        left, right = F.coalesce(F.get("pieces", i - 1), F.lit("")), F.coalesce(F.get("pieces", i + 1), F.lit(""))
+        mark = F.substring(piece, 1, 1)
+        at_end = piece.rlike(r"^[-=¬\u00ad‐][ \t]*\n[ \t]*$")
+        broken = F.array_contains(F.coalesce("broken", F.array().cast("array<string>")), F.concat(left, mark, right))
+        return F.when(at_end & broken, F.lit("")).when(at_end, mark).otherwise(F.regexp_replace(piece, r"\s*\n\s*", " "))
+
+    blocks = blocks.withColumn("pieces", words)
+    spaced = F.transform("pieces", lambda x, i: F.when(x.rlike(r"\n"), joined(i)).otherwise(x))
+    blocks = blocks.withColumn("pieces", F.regexp_extract_all(F.array_join(spaced, ""), F.lit(rf"{_WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0)))
+
+    def repaired(word: Column) -> Column:
+        form = F.col("forms")[F.lower(word)]
+        # the form takes over the case of the word
+        cased = F.when(word == F.upper(word), F.upper(form)).when(F.substring(word, 1, 1) == F.lower(F.substring(word, 1, 1)), form).otherwise(F.concat(F.upper(F.substring(form, 1, 1)), F.substr(form, F.lit(2))))
+        return F.coalesce(F.when(F.length(word) > 1, cased), word)
+
+    text = F.array_join(F.when(F.col("forms").isNull(), F.col("pieces")).otherwise(F.transform("pieces", repaired)), "")
+    number = F.row_number().over(Window.partitionBy("page").orderBy("pos")) - 1
+    return blocks.select("page", number.alias("paragraph_no"), text.alias("text"))

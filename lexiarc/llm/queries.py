@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cut_texts, format_duplicates, leaked_items, packing, pieces, scan_noise, similar_vectors, term_counts, tokens, uniform_text
+from . import cut_texts, format_duplicates, leaked_items, packing, pieces, scan_noise, sentence_pairs, similar_vectors, term_counts, tokens, uniform_text
 from .common import read
 
 
@@ -78,6 +78,12 @@ def p5_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("value").alias("token"), "occurrences", F.col("records").alias("n_pages"))
 
 
+# ---- problem 6 --------------------------------------------------------------------------------
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sentence_pairs.sentence_pairs(read(spark, sf_dir, "pages"), "id", "original_content", {"ar": "ar_content", "en": "en_content", "fr": "fr_content"})
+    return pairs.withColumnRenamed("record", "page_id")
+
+
 # ---- problem 7 --------------------------------------------------------------------------------
 _TRANSLATIONS = ("en_content", "ar_content")
 
@@ -142,7 +148,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumnRenamed("record", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p6_found, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

@@ -25,6 +25,7 @@ to the outermost two on either side before they are shuffled by document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +48,7 @@ UNDONE = [("c", "e"), ("o", "a"), ("f", "t"), ("0", "o"), ("0", "a"), ("ri", "n"
 PAGE_WORDS = ["p", "pp", "pg", "page", "pages", "صفحة", "ص", "seite", "pagina"]
 
 _ACCENTED = "aceinouyACEINOUY"
-_BREAK = r"(?<=\p{L})[-=¬­‐][ \t]*\r?\n[ \t]*(?=\p{L})"
+_BREAK = r"[-=¬­‐](?<=\p{L}.)[ \t]*\r?\n[ \t]*(?=\p{L})"
 _WORD = r"[\p{L}\p{M}\p{N}]+"
 _NATIVE = "native-text"
 
@@ -145,107 +146,119 @@ def _headers(lines: DataFrame) -> DataFrame:
 
 # ---- words -----------------------------------------------------------------------------------
 def _tokens(pages: DataFrame) -> DataFrame:
-    """``page``, ``document``, ``native``, ``word`` of the plain texts, breaks joined, in lower case."""
+    """``page``, ``document``, ``native``, ``word`` of the plain texts, breaks joined, in lower case; numbers are left out."""
     joined = F.regexp_replace(plain(F.col("text")), _BREAK, "")
-    words = F.regexp_extract_all(F.lower(joined), F.lit(_WORD), F.lit(0))
-    return pages.select("page", "document", "native", F.explode(F.array_distinct(words)).alias("word")).where(F.col("word").rlike(r"^..") & ~F.col("word").rlike(r"^\p{N}+$"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(joined), F.lit(r"[\p{L}\p{M}\p{N}]{2,}"), F.lit(0)))
+    digit = F.col("word").between("0", ":") | F.col("word").between("٠", "٪")
+    return pages.select("page", "document", "native", F.explode(words).alias("word")).where(~digit | F.col("word").rlike(r"\p{L}"))
 
 
 def _counts(tokens: DataFrame) -> DataFrame:
     """Documents per word, apart for trusted and scanned pages."""
-    per_document = tokens.select("document", "native", "word").groupBy("word", "document", "native").agg(F.lit(1).alias("one"))
+    per_document = tokens.select("word", "document", "native").distinct()
     return per_document.groupBy("word").agg(F.count_if("native").alias("df_native"), F.count_if(~F.col("native")).alias("df_scan"))
 
 
-def _sequences(words: list[str]) -> Iterator[str]:
-    for w in words:
-        w = f"^{w}$"
-        yield from (w[i : i + 3] for i in range(len(w) - 2))
+def _sequences(word: str) -> Iterator[str]:
+    w = f"^{word}$"
+    return (w[i : i + 3] for i in range(len(w) - 2))
 
 
-def _undone(words: DataFrame, known: set[str]) -> DataFrame:
-    """``word`` and ``form``: words with an impossible letter sequence that undoing one confusion removes."""
-    held = words.sparkSession.sparkContext.broadcast(known)
+_LATIN = re.compile(r"[\x00-\x7Fà-ÿ]{4,30}")
+_MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*\d)[^\W\d_]*(?:[01569][^\W\d_]*)+")
+_NUMBER_READ = re.compile(r"\d*[ol]\d+|\d+[ol]\d*")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        possible = held.value
-        fine = lambda w: all(s in possible for s in _sequences([w]))
 
-        def meant_by(w: str) -> str | None:
-            if fine(w):
-                return None
-            for read, meant in UNDONE:
-                at = w.find(read)
-                while at >= 0:
-                    if fine(form := w[:at] + meant + w[at + len(read) :]):
-                        return form
-                    at = w.find(read, at + 1)
-            return None
+def _sequence_form(word: str, possible: set[str]) -> str | None:
+    """The form without a confusion that an impossible letter sequence gives away."""
+    fine = lambda w: all(s in possible for s in _sequences(w))
+    if not _LATIN.fullmatch(word) or fine(word):
+        return None
+    for read, meant in UNDONE:
+        at = word.find(read)
+        while at >= 0:
+            if fine(form := word[:at] + meant + word[at + len(read) :]):
+                return form
+            at = word.find(read, at + 1)
+    return None
 
-        for batch in batches:
-            found = [(w, form) for w in batch.column(0).to_pylist() if (form := meant_by(w))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["word", "form"])
 
-    return words.select("word").mapInArrow(check, "word string, form string")
+def _judged(counts: DataFrame, possible: set[str]) -> DataFrame:
+    """Unknown words with the evidence against them, NULL if there is none, and the form meant.
+
+    Words lie sorted by skeleton, known ones first and frequent ones before rare
+    ones, so that a group is judged by the one form that leads it while it
+    streams by.
+    """
+    held = counts.sparkSession.sparkContext.broadcast(possible)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = held.value
+        group, leader, lead = None, None, 0
+        for batch in batches:
+            out: list[tuple[str, str | None, str | None]] = []
+            for skeleton_, word, known, df in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if skeleton_ != group:
+                    group, leader, lead = skeleton_, (word if known else None), (df if known else 0)
+                if known:
+                    continue
+                form, evidence = None, None
+                if lead >= 20 and lead >= 4 * df:
+                    form, evidence = leader, "skeleton"
+                elif _NUMBER_READ.fullmatch(word):
+                    form, evidence = word.replace("o", "0").replace("l", "1"), "digits"
+                elif _MIXED.fullmatch(word):
+                    form, evidence = _sequence_form(word, sequences), "digits"
+                elif form := _sequence_form(word, sequences):
+                    evidence = "sequence"
+                out.append((word, evidence, form))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["word", "evidence", "form"])
+
+    ordered = counts.select(skeleton(F.col("word")).alias("skeleton"), "word", "known", "df").repartition("skeleton").sortWithinPartitions("skeleton", F.desc("known"), F.desc("df"), "word")
+    return ordered.mapInArrow(judge, "word string, evidence string, form string")
 
 
 def bad_words(pages: DataFrame) -> DataFrame:
     """Wrongly read words of scanned pages: ``page``, ``word``, the ``form`` meant (NULL if unknown) and the ``evidence``."""
     tokens = _tokens(pages)
     counts = cut_lineage(_counts(tokens))
-    documents = pages.select("document", "native").distinct().groupBy("native").count().collect()
-    n = {r["native"]: r["count"] for r in documents}
+    n = {r["native"]: r["n"] for r in pages.groupBy("native").agg(F.count_distinct("document").alias("n")).collect()}
     n_native, n_scan = n.get(True, 0), n.get(False, 0)
-    if not n_scan:
-        return pages.select("page", F.lit("").alias("word"), F.lit("").alias("form"), F.lit("").alias("evidence")).limit(0)
     # a misreading may stray into trusted text, but not at the rate of a word
     known = (F.col("df_native") > 0) & (F.col("df_native") * max(1, n_scan) >= 0.2 * F.col("df_scan") * max(1, n_native))
-    counts = counts.withColumn("known", known).withColumn("df", F.col("df_native") + F.col("df_scan"))
-    total = n_native + n_scan
-    frequent = counts.where(F.col("known") & (F.col("df") >= max(2.0, FREQUENT_SHARE * total))).select("word")
-    unknown = counts.where(~F.col("known"))
-
-    # by the corpus: a form of the same skeleton in many more documents
-    leaders = counts.where(F.col("known") & (F.col("df") >= 20)).groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.max("df").alias("lead"), F.max_by("word", F.struct("df", "word")).alias("form"))
-    grouped = unknown.select("word", "df", skeleton(F.col("word")).alias("skeleton")).join(leaders, "skeleton").where(F.col("lead") >= 4 * F.col("df")).select("word", "form")
-    # letters and digits in one word, where both readings of the digits' look-alikes are common
-    mixed = unknown.where(F.col("word").rlike(r"^(?=.*[\p{L}])(?=.*\p{Nd})[\p{L}\p{M}01569]+$") & F.col("word").rlike(r"\p{L}.*[01569]|[01569].*\p{L}") | F.col("word").rlike(r"^\p{Nd}*[ol]\p{Nd}+$|^\p{Nd}+[ol]\p{Nd}*$")).select("word", F.when(F.col("word").rlike(r"^[\p{Nd}ol]+$"), F.translate("word", "ol", "01")).alias("form"))
-    # by letter sequences; three letters each, so their number is bounded by the alphabets
-    trusted = counts.where(F.col("known") & ~F.col("word").rlike(r"\p{N}")).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
-    grams = trusted.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("g")).groupBy("g").count()
-    share = max(2, int(0.00002 * n_native))
-    possible = {r["g"] for r in grams.where(F.col("count") >= share).collect()}
-    undone = _undone(unknown.where(F.col("word").rlike(r"^[\x00-\x7Fà-ÿ]{4,30}$")), possible)
-    wrong = grouped.withColumn("evidence", F.lit("skeleton")).unionByName(mixed.withColumn("evidence", F.lit("digits"))).unionByName(undone.withColumn("evidence", F.lit("sequence")))
-    # of several the form with the broadest evidence: that of the skeleton, else of the digits, else of the sequences
-    rank = F.when(F.col("evidence") == "skeleton", 3).when(F.col("evidence") == "digits", 2).otherwise(1)
-    wrong = wrong.groupBy("word").agg(F.max(F.struct(rank, "evidence", "form")).alias("w")).select("word", "w.evidence", "w.form")
-
-    # rare words per page
-    rare = tokens.where(~F.col("native")).select("page", "document", "word").join(F.broadcast(frequent), "word", "left_anti").distinct()
-    rare = cut_lineage(rare)
-    by_corpus = rare.join(wrong, "word").select("page", "word", "form", "evidence")
+    counts = counts.select("word", known.alias("known"), (F.col("df_native") + F.col("df_scan")).alias("df"))
+    # three letters each, so their number is bounded by the alphabets
+    grams = counts.where(F.col("known") & F.col("word").rlike(r"^[\x00-\x7Fà-ÿ]+$")).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
+    grams = grams.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    possible = {r["g"] for r in grams.where(F.col("n") >= max(2, int(0.00002 * n_native))).collect()}
+    judged = cut_lineage(_judged(counts, possible))
+    frequent = counts.where(F.col("known") & (F.col("df") >= max(2.0, FREQUENT_SHARE * (n_native + n_scan)))).select("word")
+
+    # the rare words of every page; only these are joined
+    rare = tokens.where(~F.col("native")).select("page", "document", "word").join(F.broadcast(frequent), "word", "left_anti")
+    rare = cut_lineage(rare.join(judged.withColumn("unknown", F.lit(True)), "word", "left"))
+    by_corpus = rare.where("evidence is not null").select("page", "word", "form", "evidence")
     # by the document: another form of the skeleton that it uses on more pages
-    strange = rare.join(unknown.select("word"), "word", "left_semi").withColumn("skeleton", skeleton(F.col("word")))
-    uses = rare.groupBy("document", "word").agg(F.count_distinct("page").alias("uses")).withColumn("skeleton", skeleton(F.col("word")))
-    lead = uses.groupBy("document", "skeleton").agg(F.max(F.struct("uses", "word")).alias("l"), F.count(F.lit(1)).alias("forms")).where("forms > 1 and l.uses > 1").select("document", "skeleton", F.col("l.uses").alias("lead"), F.col("l.word").alias("form"))
-    own = uses.select("document", "word", "uses")
-    by_document = strange.join(lead, ["document", "skeleton"]).join(own, ["document", "word"]).where((F.length("word") > 4) & (F.col("form") != F.col("word")) & (F.col("lead") >= 2 * F.col("uses"))).select("page", "word", "form", F.lit("document").alias("evidence"))
+    uses = rare.groupBy("document", "word").agg(F.count_distinct("page").alias("uses"), F.max("unknown").alias("unknown"), F.max("evidence").alias("evidence"))
+    group = Window.partitionBy("document", "skeleton")
+    uses = uses.withColumn("skeleton", skeleton(F.col("word"))).withColumn("lead", F.max(F.struct("uses", "word")).over(group))
+    own = uses.where(F.col("unknown") & F.col("evidence").isNull() & (F.length("word") > 4) & (F.col("lead.word") != F.col("word")) & (F.col("lead.uses") > 1) & (F.col("lead.uses") >= 2 * F.col("uses"))).select("document", "word", F.col("lead.word").alias("form"))
+    by_document = rare.select("page", "document", "word").join(own, ["document", "word"]).select("page", "word", "form", F.lit("document").alias("evidence"))
     return by_corpus.unionByName(by_document)
 
 
 # ---- breaks ----------------------------------------------------------------------------------
 def broken_words(pages: DataFrame) -> DataFrame:
     """``page``, ``left``, ``mark``, ``right`` of words broken at a line's end, compounds at their own hyphen left out."""
-    text = plain(F.col("text"))
-    pattern = r"([\p{L}\p{M}\p{N}]*\p{L})([-=¬­‐])[ \t]*\r?\n[ \t]*(\p{L}[\p{L}\p{M}\p{N}]*)"
-    hit = lambda g: F.regexp_extract_all("t", F.lit(pattern), F.lit(g))
-    raw = pages.where(~F.col("native") & F.col("text").rlike(r"[-=¬­‐][ \t]*\r?\n")).select("page", text.alias("t"))
-    parts = F.arrays_zip(hit(1).alias("left"), hit(2).alias("mark"), hit(3).alias("right"))
-    breaks = raw.select("page", F.explode(parts).alias("b")).select("page", "b.left", "b.mark", "b.right")
+    whole = r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}\p{N}]++[-=¬­‐](?<=\p{L}.)[ \t]*\r?\n[ \t]*\p{L}[\p{L}\p{M}\p{N}]*+"
+    raw = pages.where(~F.col("native") & F.col("text").rlike(r"[-=¬­‐][ \t]*\r?\n"))
+    breaks = raw.select("page", F.explode(F.regexp_extract_all(plain(F.col("text")), F.lit(whole), F.lit(0))).alias("b"))
+    part = lambda i: F.regexp_extract("b", r"^([^-=¬­‐]+)([-=¬­‐])\s*(.*)$", i)
+    breaks = breaks.select("page", part(1).alias("left"), part(2).alias("mark"), part(3).alias("right"))
     breaks = breaks.withColumn("form", skeleton(F.lower(F.concat_ws("-", "left", "right"))))
-    inline = pages.select("document", F.explode(F.regexp_extract_all(F.lower(plain(F.col("text"))), F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))).alias("w"))
-    compounds = inline.groupBy(skeleton(F.col("w")).alias("form")).agg(F.count_distinct("document").alias("n")).where("n > 1").select("form", F.lit(True).alias("compound"))
+    trusted = pages.where(F.col("native") & F.contains("text", F.lit("-")))
+    inline = trusted.select("document", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}-])\p{L}++-\p{L}++(?![\p{L}\p{N}-])"), F.lit(0))).alias("w"))
+    compounds = inline.distinct().groupBy(skeleton(F.col("w")).alias("form")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form", F.lit(True).alias("compound"))
     out = breaks.join(compounds, "form", "left")
     return out.where(F.col("compound").isNull() | ~F.col("mark").isin("-", "‐")).select("page", "left", "mark", "right")
 

@@ -11,7 +11,15 @@ _S = "id int, run_id string, document_id int, stage string, sub_stage string, st
 _L = "id int, run_id string, document_id int, stage string, level string, message string, context string, created_at timestamp_ntz"
 _M = "id int, namespace string, key string, value string, embedding array<float>, created_at timestamp_ntz, updated_at timestamp_ntz"
 
-TABLES: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in (("doc_catalog", _D), ("pages", _P), ("terminology", _T), ("processing_state", _S), ("processing_log", _L), ("memory_store", _M))}
+_KINDS: dict[str, T.DataType] = {"int": T.IntegerType(), "string": T.StringType(), "float": T.FloatType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A schema without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+TABLES: dict[str, T.StructType] = {name: _schema(columns) for name, columns in (("doc_catalog", _D), ("pages", _P), ("terminology", _T), ("processing_state", _S), ("processing_log", _L), ("memory_store", _M))}
 
 STAGES = ["scan", "ocr", "terminology_extract", "terminology_translate", "page_translate", "export"]
 STATUSES = ["pending", "in_progress", "completed", "failed", "retrying", "paused"]

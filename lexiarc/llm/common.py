@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,22 +25,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Shuffle partitions of the session, at least one."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions than there are.
 
-
-def first_delivery(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row per ``key``: rows delivered twice count once.
-
-    Of rows with one key the least value tuple is kept, so that the choice
-    doesn't depend on the order of the input.  Rows without a key are dropped.
+    That is the case for small inputs only - at most one split of a file for each
+    core - so the shuffle is bounded; larger ones stay as they are read.
     """
-    rest = [c for c in columns if c != key]
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key))
-        .agg(*(F.first(F.col(c)).alias(c) for c in rest))
-        if len(rest) == 1
-        else df.where(F.col(key).isNotNull()).select(*columns).dropDuplicates([key])
-    )
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

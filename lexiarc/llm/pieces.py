@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
 from .tokens import encoding, stretches, tokenizer_path
 
 _HEADING = re.compile(r"(#{1,6})[ \t]+\S|<h([1-6])[ >]", re.I)
@@ -189,7 +190,7 @@ def split_texts(df: DataFrame, record: str, text: str, limits: list[tuple[int, i
             yield _batch(rows)
 
     rows = df.select(F.col(record).cast("long").alias("record"), F.col(text).alias("text")).where(F.col("record").isNotNull() & (F.length("text") > 0))
-    return rows.mapInArrow(cut_batches, _PIECES)
+    return spread(rows).mapInArrow(cut_batches, _PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

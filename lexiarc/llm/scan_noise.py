@@ -122,7 +122,7 @@ def _headers(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("rest", F.array_join(rest, " "))
     # lines that can be headers: a few words, no list item, no end of a sentence
     few = F.regexp_count("rest", F.lit(_WORD)) <= 9
-    can = ~F.col("alone") & few & F.col("rest").rlike(r"\p{L}{2}") & ~F.col("rest").rlike(r"^\s*[-*•]\s|[.!?؟,،;؛:]\s*$")
+    can = ~F.col("alone") & few & F.col("rest").rlike(r"\p{L}{2}") & ~F.col("rest").rlike(r"^\s*[-*•]\s|[.!?؟,،;؛:]\s*$|\p{L}[-=¬\u00AD‐]\s*$")
     key = F.regexp_replace(skeleton(F.lower(F.regexp_replace("rest", r"\p{N}+", "#"))), r"[^\p{L}\p{M}#]+", "")
     rows = rows.withColumn("key", F.when(can, key)).drop("parts", "rest")
     # how many pages of the document have the key, on any side

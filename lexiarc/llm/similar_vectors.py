@@ -175,7 +175,8 @@ def _direction_keys(rows: DataFrame, dim: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, good = _unit(_matrix(batch.column(2), dim))
-            bits = (x + np.float32(0)).view("int32").astype("int64")
+            # to the accuracy that single precision leaves after scaling
+            bits = np.rint(x.astype("float64") * 1e6).astype("int64")
             with np.errstate(over="ignore"):
                 low, high = (bits * odd[0]).sum(1), (bits * odd[1]).sum(1)
             mask = pa.array(good)
@@ -194,8 +195,8 @@ def _copies(rows: DataFrame, dim: int) -> DataFrame:
 def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, queries: Column | None = None, options: Options = Options()) -> DataFrame:
     """The ``k`` most similar vectors of the same kind: ``kind``, ``id``, ``other``, ``cosine``.
 
-    ``rows`` are those of ``vectors``.  Ties go to the smaller id.  With
-    ``min_cosine`` only neighbours that reach it are looked for.  ``queries``
+    ``rows`` are those of ``vectors``.  Ties, cosines equal to six
+    digits, go to the smaller id.  With ``min_cosine`` only neighbours that reach it are looked for.  ``queries``
     restricts whose neighbours are wanted; all rows are searched.  A row
     delivered twice counts once; of one id with two vectors both take part, and
     the better cosine counts.  No vectors give no rows.
@@ -242,7 +243,7 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
     if n_extra:
         found = _expanded(found, copies, k)
     found = found.where(wanted)
-    place = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("cosine"), F.col("other")))
+    place = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc(F.round("cosine", 6)), F.col("other")))
     return found.withColumn("place", place).where(F.col("place") <= k).select("kind", "id", "other", "cosine")
 
 
@@ -301,7 +302,7 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
             row, col, exact = _exact(q, x, row, col, least)
             keep = ids[col] != query_ids[s + row]
             row, col, exact = row[keep], col[keep], exact[keep]
-            order = np.lexsort((ids[col], -exact, row))
+            order = np.lexsort((ids[col], -np.round(exact, 6), row))
             row, col, exact = row[order], col[order], exact[order]
             near = np.arange(len(row)) - np.searchsorted(row, row) < 2 * k  # rows delivered twice may take two places
             out.append((query_ids[s + row[near]], ids[col[near]], exact[near]))

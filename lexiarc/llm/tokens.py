@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Where vocabulary files are looked for when no path is given.
 FOLDER = os.environ.get("LEXIARC_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
@@ -76,4 +78,4 @@ def token_counts(df: DataFrame, record: str, text: str, path: str | None = None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], ["record", "n_tokens"])
 
     rows = df.select(F.col(record).cast("long").alias("record"), F.col(text).alias("text")).where(F.col("record").isNotNull())
-    return rows.mapInArrow(counted, "record long, n_tokens long")
+    return spread(rows).mapInArrow(counted, "record long, n_tokens long")

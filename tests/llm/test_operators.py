@@ -1,0 +1,213 @@
+"""Operators on small rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexiarc.llm import cut_texts, format_duplicates, leaked_items, packing, pieces, scan_noise, sentence_pairs, term_counts, tokens, transliterate
+
+QUIET = {"deadline": None, "suppress_health_check": [HealthCheck.function_scoped_fixture]}
+
+
+# ---- counts ----
+@settings(max_examples=15, **QUIET)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "", None, "ç"]), st.sampled_from([1, 2, 3, None]), st.sampled_from([0, 5, None])), max_size=40))
+def test_counts_match_plain(spark, rows):
+    df = spark.createDataFrame(rows, "value string, record int, w int").withColumn("occurrences", F.lit(7))
+    got = {r["value"]: (r["occurrences"], r["rows"], r["records"]) for r in term_counts.value_counts(df, "value", "record", F.col("w")).collect()}
+    want = {}
+    for v in {r[0] for r in rows} - {None}:
+        own = [r for r in rows if r[0] == v]
+        want[v] = (sum(1 if r[2] is None else r[2] for r in own), len(own), len({r[1] for r in own} - {None}))
+    assert got == want
+
+
+def test_counters_cross_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(v, i % 7) for v in "abc" for i in range(50)]
+        df = spark.createDataFrame(rows, "v string, r int").coalesce(1)
+        got = {r["value"]: (r["rows"], r["records"]) for r in term_counts.value_counts(df, "v", "r").collect()}
+        assert got == {v: (50, 7) for v in "abc"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_marks(spark):
+    df = spark.createDataFrame([("often", 9, 9, 9), ("seldom", 2, 2, 2), ("between", 4, 4, 4)], "value string, occurrences long, rows long, records long")
+    got = {r["value"]: r["mark"] for r in term_counts.mark_values(df, F.lit(100)).collect()}
+    assert got == {"often": "common", "seldom": "rare", "between": None}
+
+
+# ---- format copies ----
+def test_format_copies(spark):
+    rows = [
+        (1, 1, "Tide-Audit", "x"), (2, 1, "tide  audit.", "X!"), (3, 1, "x", "TIDE audit"), (4, 1, "tide audit", None), (5, 1, "Tide audit", None), (6, 1, "tide audit", ""),
+        (7, 2, "tide audit", "x"), (8, 1, "tide audít", "x"), (9, None, "a", "b"), (10, None, "A", "b"), (11, 1, None, None), (2, 1, "tide  audit.", "X!"),
+    ]
+    df = spark.createDataFrame(rows, "id int, doc int, term string, tr string").withColumn("copies", F.lit(0)).withColumn("h1", F.lit(1))
+    pairs = {tuple(r) for r in format_duplicates.copy_pairs(df, "id", ["doc"], ["term", "tr"]).collect()}
+    assert pairs == {(1, 2), (1, 3), (2, 3), (4, 5), (9, 10)}
+    groups = {r["id"]: r["copies"] for r in format_duplicates.collapse(df, "id", ["doc"], ["term", "tr"]).collect()}
+    assert groups == {1: 4, 4: 2, 6: 1, 7: 1, 8: 1, 9: 2, 11: 1}
+    assert format_duplicates.collapse(df.limit(0), "id", ["doc"], ["term", "tr"]).count() == 0
+
+
+def test_a_shared_hash_is_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(format_duplicates, "hash128", lambda text: [F.lit(1).alias("__h1"), F.lit(2).alias("__h2")])
+    df = spark.createDataFrame([(1, 1, "a", "b"), (2, 1, "B.", "a"), (3, 1, "c", "d")], "id int, doc int, term string, tr string")
+    assert {r["id"]: r["copies"] for r in format_duplicates.collapse(df, "id", ["doc"], ["term", "tr"]).collect()} == {1: 2, 3: 1}
+    assert {tuple(r) for r in format_duplicates.copy_pairs(df, "id", ["doc"], ["term", "tr"]).collect()} == {(1, 2)}
+
+
+# ---- packing ----
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 500), max_size=25))
+def test_plan_uses_the_histogram_up(histogram):
+    lengths, counts = np.array(list(histogram), "int64"), np.array(list(histogram.values()), "int64")
+    used: dict[int, int] = {}
+    for times, parts in packing.plan(lengths, counts, 60):
+        assert times > 0 and sum(n * m for n, m in parts) <= 60
+        for n, m in parts:
+            used[n] = used.get(n, 0) + times * m
+    assert used == histogram
+
+
+def test_least_squares_are_not_negative():
+    rng = np.random.default_rng(0)
+    a = rng.random((12, 6))
+    x = np.abs(rng.normal(size=6)) * 50
+    assert np.allclose(a @ packing.nnls(a, a @ x, 3000), a @ x, rtol=0.1, atol=5)
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(1, 10), (1, 10), (2, 0), (3, None), (None, 5), (4, 25), (5, 30), (6, 7)]
+    df = spark.createDataFrame(rows, "record int, size int").withColumn("n_tokens", F.lit(1))
+    got = packing.pack(df, "record", "size", [(9, 10)]).toPandas()
+    assert got.groupby("record").n_tokens.sum().to_dict() == {1: 10, 4: 25, 5: 30, 6: 7}
+    assert got.groupby("container").n_tokens.sum().max() <= 10
+    assert packing.pack(df.limit(0), "record", "size", [(9, 10)]).count() == 0
+
+
+# ---- pieces ----
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.sampled_from(["# Head\n", "word ", "Sentence. ", "- item\n", "\n\n", "الكلمة ", "é", "日本", "x" * 30, "1) a\n", "| a | b |\n", "\r\n"]), max_size=120))
+def test_pieces_join_to_the_text(parts):
+    text, enc = "".join(parts), tokens.encoding(tokens.tokenizer_path())
+    out = list(pieces.pieces_of(enc, text, [(1, 24, 6), (2, 40, 0)])) if text else []
+    for limit, size in ((1, 24), (2, 40)):
+        own = [p for p in out if p[0] == limit]
+        assert not own or "".join(p[7][p[4] :] for p in own) == text
+        assert all(p[5] <= size and tokens.count(enc, p[7]) == p[5] for p in own)
+        assert bool(own) == (tokens.count(enc, text) > size)
+
+
+def test_pieces_prefer_strong_boundaries():
+    enc = tokens.encoding(tokens.tokenizer_path())
+    text = "# One\n" + "First part is here. " * 4 + "\n\n# Two\n" + "Second part is here. " * 4
+    out = list(pieces.pieces_of(enc, text, [(1, 32, 0)]))
+    assert [p[6] for p in out] == ["section", "end"]
+    assert out[1][7].startswith("# Two")
+
+
+def test_pieces_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "word " * 99), (4, "word " * 99)], "id int, t string").withColumn("piece", F.lit(1))
+    assert {r["record"] for r in pieces.split_texts(df, "id", "t", [(1, 32, 4)]).collect()} == {4}
+    with pytest.raises(ValueError):
+        pieces.split_texts(df, "id", "t", [(1, 32, 30)])
+
+
+# ---- leaks ----
+def test_longest_common_parts():
+    assert leaked_items._common_run([1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 4, 5]) == 3
+    assert leaked_items._common_subsequence([1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 4, 5]) == 5
+    assert leaked_items._common_subsequence([], [1]) == 0
+
+
+def test_leaks_of_odd_rows(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(400))
+    rows = [(1, f"{other} {' ,'.join(item.upper().split()[10:26])} {other}"), (2, other), (3, None), (4, ""), (None, item), (5, item), (5, item), (6, " ".join(item.split()[:14]) + " " + other)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("item", F.lit(0)).withColumn("run", F.lit(0))
+    items = spark.createDataFrame([(7, item), (8, None), (9, ""), (7, item)], "item_id int, text string")
+    got = {(r["record"], r["item"]) for r in leaked_items.leaks(docs, "doc_id", "text", items, "item_id", "text").where("run >= 15").collect()}
+    assert got == {(1, 7), (5, 7)}
+    assert leaked_items.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+    assert leaked_items.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+# ---- cut texts ----
+def test_cut_texts(spark):
+    rows = [
+        (1, "A whole sentence.", None, False), (2, "A sentence that st", None, True), (3, "Done.\n\n- well of Kusota\n- tide of Mama", "- بئر في كوسوتا\n- مد في ماما", False),
+        (4, "Done.\n\n- well of Kusota\n- tide of Ma", "- بئر في كوسوتا\n- مد في ماما", True), (5, "It covers 17.", "مساحة 17.3 كم", True), (6, "It is 17.", "عدد 17", False), (7, "Bytes �", None, True),
+        (8, "Text.\n| a | 3 |", None, False), (9, "Text.\n| a | 3", None, True), (10, "Open (see below.", None, True), (11, None, None, None), (12, "", None, None), (13, "  \n", None, None), (14, "fro&am", None, True),
+    ]
+    df = spark.createDataFrame([(i, t, s, 1) for i, t, s, _ in rows] * 2, "id int, t string, s string, doc int").withColumn("kind", F.lit(1)).withColumn("cut", F.lit(2))
+    names = spark.createDataFrame([(1, "c"), (1, "c")], "doc int, collection string")
+    got = {r["record"]: r["cut"] for r in cut_texts.cut_texts(df, "id", "t", "s", "doc", names).collect()}
+    assert got == {i: c for i, _, _, c in rows if c is not None}
+    assert cut_texts.cut_texts(df.limit(0), "id", "t", "s", "doc", names.limit(0)).count() == 0
+
+
+def test_codes_of_names(spark):
+    pairs = [("Kusota", "كوسوتا"), ("Shithomi", "شيثومي"), ("Feyu", "فييو"), ("Ghafa", "غافا"), ("Yukune", "يوكوني")]
+    assert all(transliterate.code_text(a) == transliterate.code_text(b) for a, b in pairs)
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r[0] == r[1] == transliterate.code_text(r[2]) for r in df.select(transliterate.code(F.col("a")), transliterate.code(F.col("b")), "a").collect())
+
+
+# ---- sentences ----
+def test_sentences():
+    assert sentence_pairs.sentences("One 2.5 two. Three?\n\nFour") == ["One 2.5 two.", "Three?", "Four"]
+    assert sentence_pairs.sentences(" \n ") == []
+
+
+def test_alignment_of_merged_moved_and_missing():
+    o = sentence_pairs.Options()
+    a = sentence_pairs.Side("Rain hit Kusota in 1990. Tibi holds 41 maps. The year 1777 was dry in Baha. Nothing else.", None)
+    b = sentence_pairs.Side("وصل 1777 إلى باها. المطر في كوسوتا عام ١٩٩٠ و تيبي 41.", None)
+    assert sentence_pairs.align(a, b, {}, o) == [(0, 1), (1, 1), (2, 0)]
+    assert sentence_pairs.align(a, sentence_pairs.Side("", None), {}, o) == []
+
+
+def test_pairs_of_odd_rows(spark):
+    rows = [(1, "In 1990 a. In 1991 b.", "En 1990 a. En 1991 b."), (1, "In 1990 a. In 1991 b.", "En 1990 a. En 1991 b."), (2, None, "x."), (3, "x.", None), (4, "", " "), (None, "In 5.", "En 5.")]
+    df = spark.createDataFrame(rows, "id int, s string, t string").withColumn("lang", F.lit(1)).withColumn("source", F.lit(1))
+    got = {tuple(r) for r in sentence_pairs.sentence_pairs(df, "id", "s", {"fr": "t"}).collect()}
+    assert got == {(1, "fr", 0, 0), (1, "fr", 1, 1)}
+    assert sentence_pairs.sentence_pairs(df.limit(0), "id", "s", {"fr": "t"}).count() == 0
+
+
+# ---- scans ----
+def _scan_rows():
+    clean = "The harbour protocol covers the market and the school. A cross-border group compared the parcel register with the harbour protocol."
+    rows = [(100 + i, 100 + i, 0, clean, "native-text") for i in range(30)]
+    page = "Harbour Protocol — Kusota    {n}\nThe harbour {w} covers the mar-\nket and the school. A cross-\nborder group compared the parcel register."
+    rows += [(i, 1, i, page.format(n=i + 4, w="protocol"), "ocr-x") for i in range(4)]
+    rows += [(9, 1, 9, page.format(n=13, w="pr0tocol"), None), (10, 2, 0, None, "ocr-x"), (11, 2, 1, "", "ocr-x"), (12, None, 0, "The market.", "ocr-x"), (None, 1, 0, "The mar-\nket", "ocr-x"), (0, 1, 0, page.format(n=4, w="protocol"), "ocr-x")]
+    return rows
+
+
+def test_page_noise(spark):
+    df = spark.createDataFrame(_scan_rows(), "id int, doc int, page_number int, t string, m string").withColumn("noise", F.lit(1)).withColumn("word", F.lit(1))
+    got = {tuple(r) for r in scan_noise.page_noise(df, "id", "doc", "t", "m").collect()}
+    want = {(i, k) for i in (0, 1, 2, 3, 9) for k in ("hyphen_break", "running_header", "page_number")} | {(9, "bad_char")}
+    assert got == want
+    assert scan_noise.page_noise(df.limit(0), "id", "doc", "t", "m").count() == 0
+
+
+def test_readable_pages(spark):
+    df = spark.createDataFrame(_scan_rows(), "id int, doc int, page_number int, t string, m string")
+    got = {(r["page"], r["paragraph_no"]): r["text"] for r in scan_noise.readable_pages(df, "id", "doc", "t", "m").collect()}
+    text = "The harbour protocol covers the market and the school. A cross-border group compared the parcel register."
+    assert got == {**{(i, 0): text for i in (0, 1, 2, 3, 9)}, (12, 0): "The market."}
+
+
+def test_a_page_of_one_long_line(spark):
+    df = spark.createDataFrame([(1, 1, "word " * 60_000, "ocr-x")], "id int, doc int, t string, m string")
+    assert scan_noise.page_noise(df, "id", "doc", "t", "m").count() == 0

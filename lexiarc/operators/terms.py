@@ -18,42 +18,48 @@ def concat_pages(pages: DataFrame, document: str, number: str, text: str, joint:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Sequences of ``n`` tokens; none where there are fewer."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Sequences of ``n`` tokens, NULL where one of them is NULL; none where there are fewer."""
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+
+    def joined(i: Column) -> Column:
+        parts = [F.get(tokens, i)]
+        for k in range(1, n):
+            parts += [F.lit(" "), F.get(tokens, i + k)]
+        return F.concat(*parts)
+
+    return F.transform(starts, joined)
 
 
 def _placed(n: int) -> Callable[[Column, Column], Column]:
     return lambda term, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), term.alias("term"))
 
 
-def term_frequencies(docs: DataFrame, document: str, text: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def term_frequencies(docs: DataFrame, document: str, text: str, sizes: tuple[int, ...] = (1, 2, 3, 4), valid_only: bool = False) -> DataFrame:
     """How often every word and sequence occurs in each document: ``term``, ``n``, ``frequency``, ``first_pos``.
 
     Sequences run over the words that count, so they may span stop words.  Each
     text is tokenised once; its sequences are exploded together and combined on
-    the map side.
+    the map side.  ``valid_only`` drops those with a word that is no term before
+    they are exploded: a word is judged once for all its sequences.
     """
-    tokens = docs.select(F.col(document).alias("document_id"), T.tokens(T.normalize(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
-    grams = F.flatten(F.array(*(F.transform(ngrams(F.col("tokens"), n), _placed(n)) for n in sizes)))
+    words = T.tokens(T.normalize(F.col(text)))
+    if valid_only:  # the words are long enough, no stop words and no numbers by now
+        words = F.transform(words, lambda w: F.when(~w.rlike(r"[^\p{L}]"), w).when(T.alpha_share(w) >= 0.7, w))
+    tokens = docs.select(F.col(document).alias("document_id"), words.alias("tokens"))
+    grams = F.flatten(F.array(*(F.filter(F.transform(ngrams(F.col("tokens"), n), _placed(n)), lambda g: g["term"].isNotNull()) for n in sizes)))
     return tokens.select("document_id", F.explode(grams).alias("g")).groupBy("document_id", F.col("g.term").alias("term"), F.col("g.n").alias("n")).agg(F.count(F.lit(1)).alias("frequency"), F.min("g.pos").alias("first_pos"))
 
 
-def valid_sequence(term: Column) -> Column:
-    """Whether every word of a term is a term itself."""
-    return F.forall(F.split(term, " "), T.is_term)
-
-
 def ranked_terms(frequencies: DataFrame, min_frequency: int = 3, max_terms: int = 500) -> DataFrame:
-    """The most frequent valid terms of each document, with their ``rank``; ties by length of sequence, position and text."""
+    """The most frequent terms of each document, with their ``rank``; ties by length of sequence, position and text."""
     order = Window.partitionBy("document_id").orderBy(F.desc("frequency"), "n", "first_pos", "term")
-    kept = frequencies.where((F.col("frequency") >= min_frequency) & valid_sequence(F.col("term")))
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_terms)
+    return frequencies.where(F.col("frequency") >= min_frequency).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_terms)
 
 
 def extract_terms(docs: DataFrame, document: str, text: str, min_frequency: int = 3, max_terms: int = 500) -> DataFrame:
-    """``document_id``, ``term``, ``n``, ``frequency``, ``rank``."""
-    return ranked_terms(term_frequencies(docs, document, text), min_frequency, max_terms).select("document_id", "term", "n", "frequency", "rank")
+    """``document_id``, ``term``, ``n``, ``frequency``, ``rank`` of the valid terms of each document."""
+    found = term_frequencies(docs, document, text, valid_only=True)
+    return ranked_terms(found, min_frequency, max_terms).select("document_id", "term", "n", "frequency", "rank")
 
 
 def contexts(text: Column, term: Column, width: int = 50, found: int = 5, kept: int = 3) -> Column:

@@ -12,6 +12,7 @@ from .functions import json as J
 from .functions import text as T
 from .functions import vectors as V
 from .operators import clusters, context, glossary, memory, search, state, styles, tables, terms, upserts
+from .store import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,7 +600,7 @@ _DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return spread(read(spark, d, "documents").where("text is not null").select("doc_id", "text"))
 
 
 @query(f"SELECT doc_id, md5({_sql_norm('text')}) AS normal FROM {_DOCS}")

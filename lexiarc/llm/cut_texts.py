@@ -1,7 +1,7 @@
 """Problem 7: texts that stop before they are complete.
 
-A text's ending is read by a small automaton: broken bytes or escapes at the
-end, brackets and quotes that its last paragraph opens and never closes, and
+A text's ending is read by a small automaton: broken bytes or escapes or an
+ellipsis at the end, brackets and quotes that its last paragraph opens and never closes, and
 then, by the kind of its last line, a missing end - a sentence without its mark,
 a table row without its bar, a list item that is shorter than the others or than
 its counterpart in the page's source text, a number that goes on there.
@@ -24,6 +24,8 @@ from .transliterate import code
 _END = r"[.!?؟。۔…][)\]}\"'»”’]*\s*$"
 _ITEM = r"^\s*([-*•‣▪]|\d{1,3}[.)])\s"
 _BROKEN = r"(\x{FFFD}+|&#?\w{0,8}|\\(u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|%[0-9A-Fa-f]?|<[^<>\n]{0,200})\s*$"
+# an ellipsis behind something that isn't a whole sentence marks the cut itself
+_ELIDED = r"\s*[\[(]?(\.{3,}|…)[\])]?$"
 _DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
 _BLANK = " \t\n\r\u000b\u000c\u00a0\u200e\u200f\ufeff"
@@ -94,7 +96,7 @@ def endings(df: DataFrame, record: str, text: str, source_text: str, source: str
     own_line = F.col("before").rlike(r"[^\n]\r?\n[ \t]*\z") & F.rtrim(F.col("before"), F.lit(_BLANK)).rlike(_END + r"|\|$|(^|\n)\s*[-*•].*$") & (F.length("line") <= LONGEST_CLOSING)
     return rows.select(
         "record", "source_id", kind.alias("kind"),
-        F.col("tail").rlike(_BROKEN).alias("broken"),
+        (F.col("tail").rlike(_BROKEN) | F.col("tail").rlike(_ELIDED) & ~F.regexp_replace("tail", _ELIDED, "").rlike(_END)).alias("broken"),
         _unclosed(F.col("paragraph")).alias("unclosed"),
         F.when(item, F.coalesce(item_cut, F.lit(True))).otherwise(False).alias("item_cut"),
         F.when(table, ~F.col("line").rlike(r"\|.*\|$")).otherwise(False).alias("row_cut"),

@@ -145,7 +145,7 @@ def test_cut_texts(spark):
     rows = [
         (1, "A whole sentence.", None, False), (2, "A sentence that st", None, True), (3, "Done.\n\n- well of Kusota\n- tide of Mama", "- بئر في كوسوتا\n- مد في ماما", False),
         (4, "Done.\n\n- well of Kusota\n- tide of Ma", "- بئر في كوسوتا\n- مد في ماما", True), (5, "It covers 17.", "مساحة 17.3 كم", True), (6, "It is 17.", "عدد 17", False), (7, "Bytes �", None, True),
-        (8, "Text.\n| a | 3 |", None, False), (9, "Text.\n| a | 3", None, True), (10, "Open (see below.", None, True), (11, None, None, None), (12, "", None, None), (13, "  \n", None, None), (14, "fro&am", None, True),
+        (8, "Text.\n| a | 3 |", None, False), (9, "Text.\n| a | 3", None, True), (10, "Open (see below.", None, True), (11, None, None, None), (12, "", None, None), (13, "  \n", None, None), (14, "fro&am", None, True), (15, "It could be merged w...", None, True), (16, "All is said. ...", None, False), (17, "- a of Kus…", None, True),
     ]
     df = spark.createDataFrame([(i, t, s, 1) for i, t, s, _ in rows] * 2, "id int, t string, s string, doc int").withColumn("kind", F.lit(1)).withColumn("cut", F.lit(2))
     names = spark.createDataFrame([(1, "c"), (1, "c")], "doc int, collection string")

@@ -219,7 +219,7 @@ def _greedy(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[i
     return patterns
 
 
-def pack(items: DataFrame, record: str, size: str, capacities: list[tuple[int, int]], buckets: int = 64) -> DataFrame:
+def pack(items: DataFrame, record: str, size: str, capacities: list[tuple[int, int]], buckets: int = 32) -> DataFrame:
     """An assignment of items to containers for every capacity.
 
     ``capacities`` are (limit_id, capacity).  Result: ``limit_id``, ``record``,

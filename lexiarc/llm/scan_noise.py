@@ -52,6 +52,10 @@ _BREAK = r"[-=¬­‐](?<=\p{L}.)[ \t]*\r?\n[ \t]*(?=\p{L})"
 _WORD = r"[\p{L}\p{M}\p{N}]+"
 _NATIVE = "native-text"
 
+#: Characters at either end of a page among which its outer lines are looked for.
+WINDOW = 1000
+_BLANK = " \t\r\n\u000b\u000c\u00a0"
+
 #: Share of documents from which on a known word is frequent; at most words-per-document / share words are.
 FREQUENT_SHARE = 0.005
 
@@ -78,8 +82,7 @@ def plain(text: Column) -> Column:
     # one small loop over the pairs instead of an expression for each
     table = F.array(*(F.struct(F.lit(pair).alias("a"), F.lit(ch).alias("b")) for pair, ch in pairs))
     accented = F.aggregate(table, out, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    out = F.when(out.rlike(r"[\u0300-\u0327]"), accented).otherwise(out)
-    return F.when(text.rlike(r"[^\x00-\x7F¡-¬®-ſ،؛؟ء-غـ-ْ٠-٬–—²]"), out).otherwise(text)
+    return F.when(text.rlike(r"[\u0300-\u0327]"), accented).otherwise(out)
 
 
 def skeleton(word: Column) -> Column:
@@ -100,14 +103,14 @@ _PARTS = r"\s{2,}|\s*\|\s*|\t+"
 
 def outer_lines(pages: DataFrame) -> DataFrame:
     """The two first and two last lines of each page: ``page``, ``document``, ``side``, ``depth``, ``line``."""
-    lines = F.filter(F.split(F.col("text"), r"\r?\n"), lambda x: x.rlike(r"\S"))
-    n = F.size("lines")
-    at = lambda i: F.trim(F.get("lines", i))
-    spots = [("top", 1, F.lit(0)), ("top", 2, F.lit(1)), ("end", 1, n - 1), ("end", 2, n - 2)]
-    kept = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(d).alias("depth"), F.when(n > (0 if d == 1 else 3), at(i)).alias("line")) for s, d, i in spots))
-    longest = F.array_max(F.transform("lines", lambda x: F.length(x)))
-    out = pages.select("page", "document", lines.alias("lines")).select("page", "document", longest.alias("longest"), F.explode(kept).alias("k"))
-    return out.select("page", "document", "longest", "k.*").where("line is not null").distinct()
+    # headers are short: what is longer than the window is no header, whole or not
+    whole = F.ltrim(F.rtrim(F.col("text"), F.lit(_BLANK)), F.lit(_BLANK))
+    window = lambda part: F.filter(F.split(part, "\n"), lambda x: F.trim(F.rtrim(x, F.lit("\r"))) != "")
+    rows = pages.select("page", "document", window(F.left(whole, F.lit(WINDOW))).alias("head"), window(F.right(whole, F.lit(WINDOW))).alias("tail"))
+    n, m = F.size("head"), F.size("tail")
+    spots = [("top", 1, F.get("head", 0), n > 0), ("top", 2, F.get("head", 1), n > 3), ("end", 1, F.get("tail", m - 1), m > 0), ("end", 2, F.get("tail", m - 2), m > 3)]
+    kept = F.array(*(F.struct(F.lit(side).alias("side"), F.lit(depth).alias("depth"), F.when(there, F.trim(F.rtrim(line, F.lit("\r")))).alias("line")) for side, depth, line, there in spots))
+    return rows.select("page", "document", F.explode(kept).alias("k")).select("page", "document", "k.*").where("line <> ''").distinct()
 
 
 def _headers(lines: DataFrame) -> DataFrame:
@@ -124,7 +127,8 @@ def _headers(lines: DataFrame) -> DataFrame:
     few = F.regexp_count("rest", F.lit(_WORD)) <= 9
     can = ~F.col("alone") & few & F.col("rest").rlike(r"\p{L}{2}") & ~F.col("rest").rlike(r"^\s*[-*•]\s|[.!?؟,،;؛:]\s*$|\p{L}[-=¬\u00AD‐]\s*$")
     key = F.regexp_replace(skeleton(F.lower(F.regexp_replace("rest", r"\p{N}+", "#"))), r"[^\p{L}\p{M}#]+", "")
-    rows = rows.withColumn("key", F.when(can, key)).drop("parts", "rest")
+    # four lines a page at most; they are used several times below
+    rows = cut_lineage(rows.select("page", "document", "side", "depth", "line", "alone", "side_no", F.when(can, key).alias("key"), F.regexp_count("plain", F.lit(_WORD)).alias("n_words")))
     # how many pages of the document have the key, on any side
     keyed = rows.where("key is not null")
     counted = keyed.groupBy("document", "key").agg(F.count_distinct("page").alias("pages"), F.max(F.col("side_no").isNotNull()).alias("with_number"))
@@ -132,8 +136,7 @@ def _headers(lines: DataFrame) -> DataFrame:
     best = counted.groupBy("document").agg(F.max(F.struct("pages", "key", "with_number")).alias("b")).where("b.pages > 1").join(sizes, "document")
     best = best.select("document", "of", F.when((F.col("b.pages") * 2 > F.col("of")) | (F.col("b.pages") > 2) | F.col("b.with_number"), F.col("b.key")).alias("main"))
     rows = rows.join(counted.where("pages > 1"), ["document", "key"], "left").join(best, "document", "left")
-    n_words = F.regexp_count("plain", F.lit(_WORD))
-    returns = F.col("pages").isNotNull() & (F.col("side_no").isNotNull() | F.col("with_number") | (F.col("pages") * 2 > F.col("of")) | (n_words <= 7))
+    returns = F.col("pages").isNotNull() & (F.col("side_no").isNotNull() | F.col("with_number") | (F.col("pages") * 2 > F.col("of")) | (F.col("n_words") <= 7))
     # the document's main header with other misreadings; a header of three letters or less has no room for them
     close = F.col("key").isNotNull() & F.col("main").isNotNull() & (F.length("main") > 6) & (F.levenshtein("key", "main") <= F.when(F.length("main") > 14, 3).otherwise(2))
     rows = rows.withColumn("returns", F.coalesce(returns | close, F.lit(False)))

@@ -19,8 +19,9 @@ else does; results are (vector, neighbour, cosine) and per-vector top k.
 Vectors of exactly one direction are one vector in the index: only the copy with
 the least id is stored, so a group of copies of any size costs one row.  The
 first codebook is fitted to the density of the collection, so a dense region has
-many cells; a cell that is still expected to exceed ``cell_rows`` is searched in
-parts, each in its own task.
+many cells; a cell that is still expected to exceed ``cell_rows`` is divided by
+the second codebook, so that what a query is compared with doesn't grow with the
+collection.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class Options:
     ``sample_rows`` bounds the rows that the codebooks are fitted on; every row
     is indexed.  ``cell_mean`` is the wished mean size of a cell while
     ``max_cells`` allows it, ``cell_rows`` the size above which one is divided.
-    ``probes`` cells are searched for every vector.  ``shortlist`` candidates
+    ``probes`` cells are searched for every vector, and ``sub_probes`` parts of a
+    divided one.  ``shortlist`` candidates
     per cell are scored exactly if there is no ``min_cosine``.
     """
 
@@ -54,6 +56,7 @@ class Options:
     max_cells: int = 4096
     cell_rows: int = 6000
     probes: int = 3
+    sub_probes: int = 12
     books: int = 4
     book_size: int = 64
     beam: int = 4
@@ -196,9 +199,9 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
     """The ``k`` most similar vectors of the same kind: ``kind``, ``id``, ``other``, ``cosine``.
 
     ``rows`` are those of ``vectors``.  Ties, cosines equal to six
-    digits, go to the smaller id.  With ``min_cosine`` only neighbours that reach it are looked for.  ``queries``
-    restricts whose neighbours are wanted; all rows are searched.  A row
-    delivered twice counts once; of one id with two vectors both take part, and
+    digits, go to the smaller id.  With ``min_cosine`` only neighbours that reach
+    it are looked for.  ``queries`` restricts whose neighbours are wanted; all
+    rows are searched.  A row delivered twice counts once; of one id with two vectors both take part, and
     the better cosine counts.  No vectors give no rows.
     """
     spark = rows.sparkSession
@@ -220,7 +223,7 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
     drawn = rows.where(F.pmod(F.xxhash64("id", "kind", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000)).select("v").limit(options.sample_rows)
     sample, _ = _unit(_matrix(drawn.toArrow().column(0), options.dim))
     books = train(sample, total, options)
-    # the expected size of each cell decides whether it is searched in parts
+    # the expected size of each cell decides whether it is divided
     owners = np.concatenate([books.encode(sample[s : s + 4096], 1)[0][:, 0] for s in range(0, len(sample), 4096)]) if len(sample) else np.zeros(0, "int64")
     expected = np.bincount(owners, minlength=len(books.first)) * (total / max(1, len(sample)))
     parts = np.maximum(1, np.ceil(expected / options.cell_rows)).astype("int64")
@@ -255,14 +258,18 @@ def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, options:
     n = len(x)
     codes, near, cells = books.encode(x, options.beam, options.probes) if n else (np.zeros((0, 1 + len(books.others)), "int32"), x, np.zeros((0, 1), "int64"))
     own = codes[:, 0].astype("int64")
-    # (row, cell) once each: the own cell, and for queries those of the beam
+    # (row, cell) once each: the own cell, and for queries the nearest ones
     pairs = np.concatenate([own[:, None], np.where(asks[:, None], cells[:, : options.probes], own[:, None])], axis=1)
     row, cell = np.unique(np.stack([np.repeat(np.arange(n), pairs.shape[1]), pairs.ravel()], 1), axis=0).T if n else (np.zeros(0, "int64"), np.zeros(0, "int64"))
-    times = np.where(asks[row], parts[cell], 1)
-    home = (ids.to_numpy(zero_copy_only=False).astype("int64")[row] * 0x9E3779B1 >> 7) % parts[cell]
-    row, cell, home, first = np.repeat(row, times), np.repeat(cell, times), np.repeat(home, times), np.repeat(np.cumsum(times) - times, times)
-    part = np.where(asks[row], np.arange(len(row)) - first, home)
-    stored = (cell == own[row]) & (part == home)
+    row, cell, sub, own_sub = _sub_cells(x, codes, own, asks, row, cell, books, parts, options)
+    # blocks of what is still too large: a stored row lies in one, a query visits all
+    blocks = _blocks(parts, books)[cell]
+    times = np.where(asks[row], blocks, 1)
+    home = (ids.to_numpy(zero_copy_only=False).astype("int64")[row] * 0x9E3779B1 >> 7) % blocks
+    row, cell, sub, own_sub, home, first = (np.repeat(v, times) for v in (row, cell, sub, own_sub, home, np.cumsum(times) - times))
+    block = np.where(asks[row], np.arange(len(row)) - first, home)
+    stored = (cell == own[row]) & (sub == own_sub) & (block == home)
+    part = sub * (int(_blocks(parts, books).max()) if len(parts) else 1) + block
     take = pa.array(row)
     return pa.RecordBatch.from_arrays(
         [
@@ -274,6 +281,37 @@ def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, options:
     )
 
 
+def _blocks(parts: np.ndarray, books: Codebooks) -> np.ndarray:
+    """Blocks of a cell, or of each of its sub-cells."""
+    return np.where(parts > 1, -(-parts // len(books.others[0])), 1) if books.others else parts
+
+
+def _sub_cells(x: np.ndarray, codes: np.ndarray, own: np.ndarray, asks: np.ndarray, row: np.ndarray, cell: np.ndarray, books: Codebooks, parts: np.ndarray, options: Options) -> tuple[np.ndarray, ...]:
+    """Visits with the sub-cell they are for and that of the stored row.
+
+    A cell that is too large is divided by the second codebook: a row is stored
+    under its second code, and a query visits the ``sub_probes`` nearest ones.
+    """
+    none = np.zeros(len(row), "int64")
+    divided = parts[cell] > 1
+    if not books.others or not divided.any():
+        return row, cell, none, none
+    at = np.flatnonzero(divided)
+    book, width = books.others[0], min(options.sub_probes, len(books.others[0]))
+    rest = x[row[at]] - books.first[cell[at]]
+    error = (book**2).sum(1)[None, :] - 2 * rest @ book.T
+    near = np.argpartition(error, width - 1, axis=1)[:, :width]
+    second = codes[row[at], 1].astype("int64")
+    home = cell[at] == own[row[at]]
+    # one list for each visit: the own code where it is stored, the nearest ones where it asks
+    lists = np.concatenate([np.where(home, second, near[:, 0])[:, None], np.where(asks[row[at]][:, None], near, np.where(home, second, near[:, 0])[:, None])], axis=1)
+    visit, sub = np.unique(np.stack([np.repeat(at, lists.shape[1]), lists.ravel()], 1), axis=0).T
+    whole = np.flatnonzero(~divided)
+    picked = np.concatenate([whole, visit])
+    own_sub = np.where(divided, codes[row, 1].astype("int64"), 0)
+    return row[picked], cell[picked], np.concatenate([np.zeros(len(whole), "int64"), sub]), own_sub[picked]
+
+
 def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None, options: Options) -> pa.Table:
     """Queries of a cell against its stored vectors: table scores, then exact ones."""
     base, asking = table.filter(table["stored"]), table.filter(table["asks"])

@@ -156,3 +156,15 @@ def test_vectors_with_all_kinds_of_rows(spark):
     assert similar_vectors.neighbours(vectors.limit(0), 5).count() == 0
     every = similar_vectors.neighbours(vectors, 3).toPandas()
     assert every.groupby("id").size().max() <= 3 and set(every.id) == {*range(30), *range(100, 108)}
+
+
+def test_divided_cells_find_the_same(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(1000 + i, (v + rng.normal(size=64) * 0.1).tolist()) for i, v in enumerate(base)]
+    vectors = similar_vectors.vectors(spark.createDataFrame(rows, "id int, e array<double>"), "id", "e", "k")
+    want = {(i, 1000 + i) for i in range(400)}
+    for options in (similar_vectors.Options(cell_mean=400, probes=2), similar_vectors.Options(cell_mean=400, cell_rows=50, probes=2), similar_vectors.Options(cell_mean=400, cell_rows=1, probes=2, book_size=8, sub_probes=6)):
+        found = similar_vectors.neighbours(vectors, 5, min_cosine=0.92, options=options)
+        got = {(r["id_a"], r["id_b"]) for r in similar_vectors.mutual_pairs(found).collect()}
+        assert got <= want and len(got) >= 0.97 * len(want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\x{600}-\x{6FF}]*[\p{L}\p{N}_])?"
 _MARKDOWN = r"[#*_`\[\](){}|]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, tabs and line ends included."""
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
@@ -58,7 +65,8 @@ def is_term(word: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")), F.lit(0))
+    """Runs of characters between white space; 0 for NULL."""
+    return let(strip(text), lambda t: F.when(t.isNull() | (t == ""), 0).otherwise(F.regexp_count(t, F.lit(WS + "+")) + 1))
 
 
 def is_blank(text: Column) -> Column:
@@ -68,16 +76,22 @@ def is_blank(text: Column) -> Column:
 def quality_score(text: Column) -> Column:
     """Score of a text by word length, signs and repeated characters; blank texts have 0."""
     n = F.length(text)
-    average = n / F.nullif(word_count(text), F.lit(0))
-    signs = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")) / n
+    # what is left without letters, digits and white space; a class of what to drop is much faster than its complement
+    signs = F.length(F.regexp_replace(text, r"[\p{L}\p{N}" + WS[1:-1] + "]+", "")) / n
     repeats = F.regexp_count(text, F.lit(r"(?s)(.)(?=\1\1)")) / n
-    score = (
-        F.lit(1.0)
-        - F.when((average < 2) | (average > 15), 0.2).otherwise(0.0)
-        - F.when(signs > 0.3, 0.3).when(signs > 0.2, 0.1).otherwise(0.0)
-        - F.when(repeats > 0.1, 0.3).when(repeats > 0.05, 0.15).otherwise(0.0)
-    )
-    return F.when(is_blank(text), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+
+    def score(v: Column) -> Column:
+        average = n / v["words"]
+        out = (
+            F.lit(1.0)
+            - F.when((average < 2) | (average > 15), 0.2).otherwise(0.0)
+            - F.when(v["signs"] > 0.3, 0.3).when(v["signs"] > 0.2, 0.1).otherwise(0.0)
+            - F.when(v["repeats"] > 0.1, 0.3).when(v["repeats"] > 0.05, 0.15).otherwise(0.0)
+        )
+        return F.when(v["words"] == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 6))
+
+    measured = F.struct(F.nullif(word_count(text), F.lit(0)).alias("words"), signs.alias("signs"), repeats.alias("repeats"))
+    return F.when(is_blank(text), 0.0).otherwise(let(measured, score))
 
 
 def quality_label(score: Column) -> Column:

@@ -16,14 +16,14 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """NULL for vectors of different lengths and for zero vectors."""
-    n = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
+    scaled = F.get(F.transform(F.array(norm(a) * norm(b)), lambda n: F.when(n > 0, dot(a, b) / n)), 0)
+    return F.when(F.size(a) == F.size(b), scaled)
 
 
 def unit(a: Column) -> Column:
     """The vector scaled to length 1; NULL for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # the norm is worked out once, outside of the loop over the entries
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), 0)
 
 
 def literal(values: list[float]) -> Column:

@@ -25,11 +25,14 @@ DASH = r"(?m)^([^\n\-–—]{2,100})\s*[-–—]\s*(.{10,})$"
 
 def header_language(text: Column) -> Column:
     """Language of the first heading in list order that the text has."""
-    lower = F.lower(text)
-    out = F.lit(None).cast("string")
-    for header, lang in reversed(HEADERS):
-        out = F.when(F.contains(lower, F.lit(header)), lang).otherwise(out)
-    return out
+
+    def first(lower: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for header, lang in reversed(HEADERS):
+            out = F.when(F.contains(lower, F.lit(header)), lang).otherwise(out)
+        return out
+
+    return T.let(F.lower(text), first)
 
 
 def confidence(text: Column) -> Column:

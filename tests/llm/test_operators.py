@@ -169,10 +169,10 @@ def test_sentences():
 
 def test_alignment_of_merged_moved_and_missing():
     o = sentence_pairs.Options()
-    a = sentence_pairs.Side("Rain hit Kusota in 1990. Tibi holds 41 maps. The year 1777 was dry in Baha. Nothing else.", None)
-    b = sentence_pairs.Side("وصل 1777 إلى باها. المطر في كوسوتا عام ١٩٩٠ و تيبي 41.", None)
+    a = sentence_pairs.Side("Rain hit Kusota in 1990. Tibi holds 41 maps. The year 1777 was dry in Baha. Nothing else.", sentence_pairs.Reader())
+    b = sentence_pairs.Side("وصل 1777 إلى باها. المطر في كوسوتا عام ١٩٩٠ و تيبي 41.", sentence_pairs.Reader())
     assert sentence_pairs.align(a, b, {}, o) == [(0, 1), (1, 1), (2, 0)]
-    assert sentence_pairs.align(a, sentence_pairs.Side("", None), {}, o) == []
+    assert sentence_pairs.align(a, sentence_pairs.Side("", sentence_pairs.Reader()), {}, o) == []
 
 
 def test_pairs_of_odd_rows(spark):

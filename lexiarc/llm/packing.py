@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut_lineage
+
 #: Bounds of the plan: length classes, combinations' depth and number, least fill of a combination.
 CLASSES, DEPTH, COMBINATIONS, WINDOW = 512, 4, 3000, 0.998
 
@@ -230,31 +232,32 @@ def pack(items: DataFrame, record: str, size: str, capacities: list[tuple[int, i
     """
     spark = items.sparkSession
     rows = items.select(F.col(record).cast("long").alias("record"), F.col(size).cast("long").alias("size")).where("record is not null and size > 0").groupBy("record").agg(F.max("size").alias("size"))
+    rows = cut_lineage(rows)  # ids and sizes; measuring them is the work
     # every item meets every limit: a handful of rows, fixed by the caller
     each = rows.withColumn("limit", F.explode(F.array(*(F.struct(F.lit(int(i)).alias("limit_id"), F.lit(int(c)).cast("long").alias("capacity")) for i, c in capacities)))).select("record", "size", "limit.*")
     full = F.expr("(size - 1) div capacity")
     parts = each.select("limit_id", "record", "capacity", F.posexplode(F.sequence(F.lit(0).cast("long"), full)).alias("part_no", "k"), "size")
     parts = parts.select("limit_id", "record", "part_no", F.when(F.col("part_no") < full, F.col("capacity")).otherwise(F.col("size") - full * F.col("capacity")).alias("n_tokens"), F.pmod(F.xxhash64("record", "part_no"), F.lit(buckets)).cast("int").alias("bucket"))
 
-    per_bucket = parts.groupBy("limit_id", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    offsets, slots = [], []
+    per_bucket = parts.groupBy("limit_id", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("limit_id", "n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_bucket.select("limit_id", "n_tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # the histogram: at most as many rows for a limit as it has tokens
+    histograms = per_bucket.groupBy("limit_id", "n_tokens").agg(F.sum("n").alias("n")).toPandas()
+    slots = []
     for limit_id, capacity in capacities:
-        own = per_bucket[per_bucket["limit_id"] == limit_id].sort_values(["n_tokens", "bucket"])
-        start = own.groupby("n_tokens")["n"].cumsum() - own["n"]
-        offsets += zip(own["limit_id"].tolist(), own["n_tokens"].tolist(), own["bucket"].tolist(), start.tolist())
-        histogram = own.groupby("n_tokens")["n"].sum()
+        histogram = histograms[histograms["limit_id"] == limit_id].sort_values("n_tokens")
         first, used = 0, {}
-        for times, pattern in plan(histogram.index.to_numpy(), histogram.to_numpy(), int(capacity)):
+        for times, pattern in plan(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), int(capacity)):
             for n, m in pattern:
                 # ranks from ``at`` on, m to a container
                 at = used.get(n, 0)
                 slots.append((int(limit_id), n, at, at + m * times, m, first))
                 used[n] = at + m * times
             first += times
-    # bounded by capacity x buckets and by the plan, not by the items
-    starts = F.broadcast(spark.createDataFrame(offsets, "limit_id int, n_tokens long, bucket int, start long"))
     ranked = parts.withColumn("within", F.row_number().over(Window.partitionBy("limit_id", "n_tokens", "bucket").orderBy("record", "part_no")) - 1)
     ranked = ranked.join(starts, ["limit_id", "n_tokens", "bucket"]).withColumn("rank", F.col("start") + F.col("within"))
+    # the plan is bounded by lengths and combinations, not by items
     table = F.broadcast(spark.createDataFrame(slots, "limit_id int, n_tokens long, low long, high long, each long, first long"))
     found = ranked.join(table, (ranked["limit_id"] == table["limit_id"]) & (ranked["n_tokens"] == table["n_tokens"]) & (ranked["rank"] >= table["low"]) & (ranked["rank"] < table["high"]))
     return found.select(ranked["limit_id"], "record", "part_no", ranked["n_tokens"], (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("long").alias("container"))

@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every record whose id is divisible by 20, among all records."""
-    out = similar_vectors.neighbours(_all_vectors(spark, sf_dir), 5, queries=F.col("id") % 20 == 0, options=similar_vectors.Options(max_cells=24, probes=12, shortlist=150, books=6, book_size=256))
+    out = similar_vectors.neighbours(_all_vectors(spark, sf_dir), 5, queries=F.col("id") % 20 == 0, options=similar_vectors.Options(max_cells=24, probes=14, shortlist=150, shortlist_share=0.08, books=6, book_size=256, cell_rows=60_000))
     return out.select(F.col("kind").alias("record_kind"), "id", "other", F.round("cosine", 6).alias("cosine"))
 
 

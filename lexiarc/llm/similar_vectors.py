@@ -47,7 +47,8 @@ class Options:
     ``max_cells`` allows it, ``cell_rows`` the size above which one is divided.
     ``probes`` cells are searched for every vector, and ``sub_probes`` parts of a
     divided one.  ``shortlist`` candidates
-    per cell are scored exactly if there is no ``min_cosine``.
+    per cell, or ``shortlist_share`` of it, are scored exactly if there is no
+    ``min_cosine``.
     """
 
     dim: int = 64
@@ -55,12 +56,13 @@ class Options:
     cell_mean: int = 400
     max_cells: int = 4096
     cell_rows: int = 6000
-    probes: int = 3
+    probes: int = 4
     sub_probes: int = 12
     books: int = 4
     book_size: int = 64
     beam: int = 4
     shortlist: int = 32
+    shortlist_share: float = 0.0
     rounds: int = 8
 
 
@@ -334,7 +336,7 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
                 # q.x = q.near + q.rest and |q| = 1, so q.x is at most the score plus the stored error
                 row, col = np.nonzero(score + errors[None, :] >= least)
             else:
-                width = min(len(ids), max(options.shortlist, 2 * k + 1))
+                width = min(len(ids), max(options.shortlist, 2 * k + 1, int(options.shortlist_share * len(ids))))
                 best = np.argpartition(-(score / norms), width - 1, axis=1)[:, :width] if width < len(ids) else np.tile(np.arange(width), (len(q), 1))
                 row, col = np.repeat(np.arange(len(q)), width), best.ravel()
             row, col, exact = _exact(q, x, row, col, least)

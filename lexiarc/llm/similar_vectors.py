@@ -19,9 +19,12 @@ else does; results are (vector, neighbour, cosine) and per-vector top k.
 Vectors of exactly one direction are one vector in the index: only the copy with
 the least id is stored, so a group of copies of any size costs one row.  The
 first codebook is fitted to the density of the collection, so a dense region has
-many cells; a cell that is still expected to exceed ``cell_rows`` is divided by
-the second codebook, so that what a query is compared with doesn't grow with the
-collection.
+many cells.  A cell that is still expected to exceed ``cell_rows`` is divided.
+With ``min_cosine`` the second codebook divides it, so that what a query is
+compared with doesn't grow with the collection.  Without, neighbours lie anywhere
+in a cell: it is cut into blocks of stored vectors and of queries, and every block
+of the one meets every block of the other, so that the same share of a collection
+of any size is searched, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -45,10 +48,10 @@ class Options:
     ``sample_rows`` bounds the rows that the codebooks are fitted on; every row
     is indexed.  ``cell_mean`` is the wished mean size of a cell while
     ``max_cells`` allows it, ``cell_rows`` the size above which one is divided.
-    ``probes`` cells are searched for every vector, and ``sub_probes`` parts of a
-    divided one.  ``shortlist`` candidates
-    per cell, or ``shortlist_share`` of it, are scored exactly if there is no
-    ``min_cosine``.
+    ``probes`` cells are searched for every vector.  Of a divided one ``sub_probes``
+    parts are searched if there is a ``min_cosine``, else all of it, and
+    ``shortlist`` candidates per cell or block, or ``shortlist_share`` of it, are
+    scored exactly.
     """
 
     dim: int = 64
@@ -219,17 +222,18 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
         hint = F.broadcast if small else (lambda df: df)
         index = index.join(hint(extra), ["kind", "id"], "left_anti").join(hint(asked_by), ["kind", "id"], "left")
         index = index.select("kind", "id", "v", (F.col("asks") | F.col("__asked").isNotNull()).alias("asks"))
-    total = rows.count()
+    total, asking = rows.agg(F.count(F.lit(1)), F.count(F.when(wanted, 1))).first()
     # a bounded sample, drawn by hash so that it doesn't depend on the order of rows
     share = min(1.0, 1.1 * options.sample_rows / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64("id", "kind", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000)).select("v").limit(options.sample_rows)
     sample, _ = _unit(_matrix(drawn.toArrow().column(0), options.dim))
     books = train(sample, total, options)
     # the expected size of each cell decides whether it is divided
-    owners = np.concatenate([books.encode(sample[s : s + 4096], 1)[0][:, 0] for s in range(0, len(sample), 4096)]) if len(sample) else np.zeros(0, "int64")
-    expected = np.bincount(owners, minlength=len(books.first)) * (total / max(1, len(sample)))
-    parts = np.maximum(1, np.ceil(expected / options.cell_rows)).astype("int64")
-    held = spark.sparkContext.broadcast((books, parts))
+    coded = [books.encode(sample[s : s + 4096], 1, options.probes) for s in range(0, len(sample), 4096)]
+    parts = _parts([codes[:, 0] for codes, _, _ in coded], total, len(sample), books, options)
+    # without a least cosine the queries of a cell are divided, too, and meet all that is stored there
+    turns = _parts([cells[:, : options.probes].ravel() for _, _, cells in coded], asking, len(sample), books, options) if min_cosine is None else None
+    held = spark.sparkContext.broadcast((books, parts, turns))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +256,13 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
     return found.withColumn("place", place).where(F.col("place") <= k).select("kind", "id", "other", "cosine")
 
 
-def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, options: Options) -> pa.RecordBatch:
+def _parts(cells: list[np.ndarray], total: int, drawn: int, books: Codebooks, options: Options) -> np.ndarray:
+    """In how many parts of ``cell_rows`` each cell is divided, by the cells of a sample."""
+    expected = np.bincount(np.concatenate([*cells, np.zeros(0, "int64")]), minlength=len(books.first)) * (total / max(1, drawn))
+    return np.maximum(1, np.ceil(expected / options.cell_rows)).astype("int64")
+
+
+def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, turns: np.ndarray | None, options: Options) -> pa.RecordBatch:
     """A row for each cell a vector is stored in or asks."""
     x, good = _unit(_matrix(batch.column(2), options.dim))
     mask = pa.array(good)
@@ -263,26 +273,51 @@ def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, options:
     # (row, cell) once each: the own cell, and for queries the nearest ones
     pairs = np.concatenate([own[:, None], np.where(asks[:, None], cells[:, : options.probes], own[:, None])], axis=1)
     row, cell = np.unique(np.stack([np.repeat(np.arange(n), pairs.shape[1]), pairs.ravel()], 1), axis=0).T if n else (np.zeros(0, "int64"), np.zeros(0, "int64"))
-    row, cell, sub, own_sub = _sub_cells(x, codes, own, asks, row, cell, books, parts, options)
-    # blocks of what is still too large: a stored row lies in one, a query visits all
-    blocks = _blocks(parts, books)[cell]
-    times = np.where(asks[row], blocks, 1)
-    home = (ids.to_numpy(zero_copy_only=False).astype("int64")[row] * 0x9E3779B1 >> 7) % blocks
-    row, cell, sub, own_sub, home, first = (np.repeat(v, times) for v in (row, cell, sub, own_sub, home, np.cumsum(times) - times))
-    block = np.where(asks[row], np.arange(len(row)) - first, home)
-    stored = (cell == own[row]) & (sub == own_sub) & (block == home)
-    part = sub * (int(_blocks(parts, books).max()) if len(parts) else 1) + block
+    number = ids.to_numpy(zero_copy_only=False).astype("int64")
+    if turns is None:
+        row, cell, sub, own_sub = _sub_cells(x, codes, own, asks, row, cell, books, parts, options)
+        # blocks of what is still too large: a stored row lies in one, a query visits all
+        blocks = _blocks(parts, books)[cell]
+        times = np.where(asks[row], blocks, 1)
+        home = (number[row] * 0x9E3779B1 >> 7) % blocks
+        row, cell, sub, own_sub, home, first = (np.repeat(v, times) for v in (row, cell, sub, own_sub, home, np.cumsum(times) - times))
+        block = np.where(asks[row], np.arange(len(row)) - first, home)
+        stored = (cell == own[row]) & (sub == own_sub) & (block == home)
+        part = sub * (int(_blocks(parts, books).max()) if len(parts) else 1) + block
+        asked = asks[row]
+    else:
+        row, cell, part, stored, asked = _grid(number, own, asks, row, cell, parts, turns)
     take = pa.array(row)
     return pa.RecordBatch.from_arrays(
         [
             kind.take(take), ids.take(take), _lists(x[row], pa.float32()), _lists(codes[row].astype("int32"), pa.int32()),
             pa.array(np.linalg.norm(near, axis=1)[row], pa.float32()), pa.array(np.linalg.norm(x - near, axis=1)[row], pa.float32()),
-            pa.array(asks[row]), pa.array(stored), pa.array(cell, pa.int32()), pa.array(part, pa.int32()),
+            pa.array(asked), pa.array(stored), pa.array(cell, pa.int32()), pa.array(part, pa.int32()),
         ],
         ["kind", "id", "v", "codes", "norm", "err", "asks", "stored", "cell", "part"],
     )
 
 
+def _grid(number: np.ndarray, own: np.ndarray, asks: np.ndarray, row: np.ndarray, cell: np.ndarray, parts: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Visits of the blocks of each cell: ``parts`` of stored vectors by ``turns`` of queries.
+
+    A stored row lies in one block and meets all turns of queries, a query has
+    one turn and meets all blocks; each pair of them meets once.
+    """
+    blocks, rounds = parts[cell], turns[cell]
+    block, turn = (number[row] * 0x9E3779B1 >> 7) % blocks, (number[row] * 0x85EBCA6B >> 11) % rounds
+    kept = cell == own[row]
+    lists = []
+    for chosen, times, stores in ((kept, rounds, True), (asks[row], blocks, False)):
+        at = np.flatnonzero(chosen)
+        n = times[at]
+        at, nth = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lists.append((at, block[at], nth) if stores else (at, nth, turn[at]))
+    # a row that is stored and asks comes once where both meet
+    at, b, t = np.unique(np.concatenate([np.stack(v, 1) for v in lists]), axis=0).T
+    return row[at], cell[at], b * int(turns.max()) + t, kept[at] & (b == block[at]), asks[row[at]] & (t == turn[at])
+
+
 def _blocks(parts: np.ndarray, books: Codebooks) -> np.ndarray:
     """Blocks of a cell, or of each of its sub-cells."""
     return np.where(parts > 1, -(-parts // len(books.others[0])), 1) if books.others else parts

@@ -136,10 +136,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per item: documents with a passage of it, and the longest run found."""
-    found = _leaks(spark, sf_dir).where("run >= 15").groupBy("item").agg(F.count(F.lit(1)).alias("n_documents"), F.max("run").alias("longest_run"))
+    """Per item: documents with a passage of it, the longest run found, and documents that only paraphrase it."""
+    verbatim = F.col("run") >= 15
+    found = _leaks(spark, sf_dir).groupBy("item").agg(F.count(F.when(verbatim, 1)).alias("n_documents"), F.max(F.when(verbatim, F.col("run"))).alias("longest_run"), F.count(F.when(~verbatim, 1)).alias("n_paraphrases"))
     items = read(spark, sf_dir, "eval_items").select("item_id", "task", "lang")
-    return items.join(found, items["item_id"] == found["item"], "left").select("item_id", "task", "lang", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+    return items.join(found, items["item_id"] == found["item"], "left").select("item_id", "task", "lang", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"), F.coalesce("n_paraphrases", F.lit(0)).alias("n_paraphrases"))
 
 
 # ---- problem 10 -------------------------------------------------------------------------------

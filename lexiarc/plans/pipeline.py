@@ -19,7 +19,7 @@ from ..operators import context, terms
 from ..schemas import TABLES, language_column
 from ..sources import files, sinks
 from ..store import Store
-from .providers import EchoModel, HashEmbedder, TextModel, answers, embeddings
+from .providers import EchoModel, HashEmbedder, TextModel, answers_in_order, embeddings
 
 
 @dataclass(frozen=True)
@@ -110,19 +110,21 @@ class Pipeline:
         self._log("terminology_extract", "completed", docs.select("document_id"))
 
     def translate(self) -> None:
-        """Pages without a translation.  Documents run in parallel; a page's prompt has the translations before it."""
+        """Pages without a translation.  Documents run in parallel, the pages of one in order; a page's prompt has the translations before it."""
         column = language_column("content", self.settings.target_lang)
         pages = self._table("pages")
-        open_pages = pages.where(~T.is_blank(F.col("original_content")) & T.is_blank(F.coalesce(column, F.lit(""))))
-        before = context.previous_context(pages.select("document_id", "page_number", F.nullif(F.col(column), F.lit("")).alias("translation")))
+        is_open = ~T.is_blank(F.coalesce("original_content", F.lit(""))) & T.is_blank(F.coalesce(column, F.lit("")))
+        todo = pages.where(is_open).select("document_id").distinct()
         titles = self._table("doc_catalog").select(F.col("id").alias("document_id"), "file_name", "total_pages")
-        rows = open_pages.select("id", "document_id", "page_number", "original_content").join(before, ["document_id", "page_number"]).join(titles, "document_id", "left")
+        rows = pages.join(todo, "document_id", "left_semi").join(titles, "document_id", "left")
         no_terms = F.array().cast("array<struct<term:string,translation:string>>")
-        prompt = context.prompt(F.coalesce("file_name", F.lit("")), F.col("page_number"), F.coalesce("total_pages", F.lit(0)), F.col("previous_summary"), F.col("previous_ending"), no_terms, F.col("original_content"), self.settings.source_lang, self.settings.target_lang)
-        replies = answers(rows.select("id", prompt.alias("prompt")), "id", "prompt", self.model).where("error is null").select(F.col("key").cast("int").alias("id"), F.col("reply").alias(column))
+        head = context.prompt_head(F.coalesce("file_name", F.lit("")), F.col("page_number"), F.coalesce("total_pages", F.lit(0)), self.settings.source_lang, self.settings.target_lang)
+        tail = context.prompt_tail(no_terms, F.col("original_content"), self.settings.target_lang)
+        asked = rows.select("document_id", "page_number", "id", head.alias("head"), tail.alias("tail"), F.col(column).alias("translation"), is_open.alias("open"))
+        replies = answers_in_order(asked, self.model).where("error is null").select("id", F.col("reply").alias(column))
         changed = pages.drop(column).join(replies.withColumnRenamed(column, "__new"), "id", "left").join(pages.select("id", F.col(column).alias("__old")), "id")
         self.store.replace("pages", changed.withColumn(column, F.coalesce("__new", "__old")).select(*pages.columns))
-        self._log("page_translate", "completed", rows.select("document_id").distinct())
+        self._log("page_translate", "completed", todo)
 
     def export(self) -> None:
         """Translated documents as files."""

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.context import context_of, joined_prompt
+
 
 class TextModel(Protocol):
     """Answers prompts; made once per task."""
@@ -104,6 +106,39 @@ def answers(df: DataFrame, key: str, prompt: str, make: Callable[[], TextModel],
     return df.select(F.col(key).cast("string").alias("key"), prompt).mapInArrow(run, "key string, reply string, model string, error string")
 
 
+def answers_in_order(df: DataFrame, make: Callable[[], TextModel], wait: float = 1.0) -> DataFrame:
+    """``id``, ``reply``, ``error`` of the open pages; each prompt has the translations before it, new ones too.
+
+    ``df`` has ``document_id``, ``page_number``, ``id``, ``head`` and ``tail`` of
+    the prompt, ``translation`` and ``open``.  Documents are spread over the tasks,
+    the pages of one are answered one after the other; a page that fails has an
+    error, and the next ones go on without it.  Write the result before using it
+    twice: replies aren't repeatable.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, document, before = make(), None, []
+        for b in batches:
+            out: list[tuple] = []
+            for d, n, key, head, tail, text, is_open in zip(*(c.to_pylist() for c in b.columns)):
+                if d != document:
+                    document, before = d, []
+                if is_open:
+                    try:
+                        text, error = with_retry(model.answer, [joined_prompt(head, *context_of(before), tail)], wait=wait)[0], None
+                    except Exception as failed:  # noqa: BLE001
+                        text, error = None, str(failed)
+                    out.append((key, text, error))
+                if text:
+                    before = [(n, text.strip()), *before[:1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.string(), pa.string()))], ["id", "reply", "error"])
+
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select("document_id", "page_number", "id", "head", "tail", "translation", "open")
+    return rows.repartition(tasks, "document_id").sortWithinPartitions("document_id", "page_number", "id").mapInArrow(run, "id int, reply string, error string")
+
+
 def embeddings(df: DataFrame, key: str, text: str, make: Callable[[], Embedder], batch: int = 256) -> DataFrame:
     """``key`` and ``embedding``; NULL and blank texts have none."""
 

@@ -13,13 +13,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import context, terms
+from ..operators import context, glossary, terms
 from ..schemas import TABLES, language_column
 from ..sources import files, sinks
 from ..store import Store
-from .providers import EchoModel, HashEmbedder, TextModel, answers_in_order, embeddings
+from .providers import EchoModel, HashEmbedder, TextModel, answers, answers_in_order, embeddings
+
+#: From which confidence a page is one of a glossary, and how many terms are translated at once.
+GLOSSARY_CONFIDENCE, TERM_BATCH = 0.7, 50
 
 
 @dataclass(frozen=True)
@@ -93,21 +97,61 @@ class Pipeline:
         self._log("ocr", "completed", todo.select("document_id"))
 
     def terminology(self) -> None:
-        """Terms of documents that have none, with vectors; a document's terms are replaced as a whole."""
-        known, pages = self._table("terminology"), self._table("pages")
+        """Terms of documents that have none, from their glossary pages and by frequency, with vectors and translations."""
+        known, pages, column = self._table("terminology"), self._table("pages"), language_column("translation", self.settings.target_lang)
         todo = pages.join(known.select("document_id").distinct(), "document_id", "left_anti").where(~T.is_blank(F.col("original_content")))
         docs = terms.concat_pages(todo, "document_id", "page_number", "original_content")
-        found = terms.extract_terms(docs, "document_id", "text", self.settings.min_frequency, self.settings.max_terms)
+        found = terms.extract_terms(docs, "document_id", "text", self.settings.min_frequency, self.settings.max_terms).select("document_id", "term", F.col("frequency").cast("int").alias("frequency"))
+        # a glossary's own entries come first and are approved; a term that is among them isn't taken again
+        listed = self._glossary(todo, column)
+        name = F.lower(T.strip(F.col("term"))).alias("name")
+        others = found.withColumn("name", name).join(listed.select("document_id", name), ["document_id", "name"], "left_anti").drop("name")
+        both = listed.unionByName(others.withColumn("approved", F.lit(not self.settings.review)), allowMissingColumns=True)
         last = known.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-        keyed = found.withColumn("k", F.concat_ws("\u0000", "document_id", "term"))
-        rows = files.with_ids(keyed, last, "k").select("id", "document_id", "term", F.col("frequency").cast("int"))
+        keyed = both.withColumn("k", F.concat_ws("\u0000", "document_id", "term"))
+        rows = files.with_ids(keyed, last, "k").select("id", *both.columns)
         vectors = embeddings(rows, "id", "term", HashEmbedder).select(F.col("key").cast("int").alias("id"), "embedding")
-        rows = rows.join(vectors, "id", "left").withColumn("approved", F.lit(not self.settings.review))
+        rows = rows.join(vectors, "id", "left")
         for f in TABLES["terminology"]:
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
         self.store.replace("terminology", known.unionByName(rows.select(*known.columns)))
         self._log("terminology_extract", "completed", docs.select("document_id"))
+        self._translate_terms()
+
+    def _glossary(self, pages: DataFrame, column: str) -> DataFrame:
+        """Entries of glossary pages, the first of each term of a document; the definition is its translation."""
+        sure = pages.where(glossary.confidence(F.col("original_content")) >= GLOSSARY_CONFIDENCE)
+        rows = glossary.entries(sure, ["document_id", "page_number", "id"], "original_content")
+        once = glossary.first_of(rows, [F.col("document_id"), F.lower(T.strip(F.col("term")))], [F.col("page_number"), F.col("id"), F.col("pos")])
+        context_of = F.concat(F.lit("From glossary page "), F.col("page_number") + 1)
+        return once.select("document_id", "term", F.lit(100).alias("frequency"), F.col("definition").alias(column), context_of.alias("context"), F.lit(True).alias("approved"))
+
+    def _translate_terms(self) -> None:
+        """Translations of terms that have none, asked in batches of a document; a batch that fails is asked again by the next run."""
+        column = language_column("translation", self.settings.target_lang)
+        known = self._table("terminology")
+        rows = known.where(T.is_blank(F.coalesce(column, F.lit(""))))
+        place = F.row_number().over(Window.partitionBy("document_id").orderBy("id")) - 1
+        asked = rows.select("id", "document_id", "term", "context").withColumn("batch", F.floor(place / TERM_BATCH))
+        line = F.concat(F.lit('- Term: "'), F.col("term"), F.lit('"'), F.coalesce(F.concat(F.lit('\n  Context: "'), F.col("context"), F.lit('"')), F.lit("")))
+        lists = asked.groupBy("document_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), "\n").alias("terms"))
+        key = F.concat_ws(":", "document_id", "batch")
+        prompts = lists.select(key.alias("key"), context.terms_prompt(F.col("terms"), self.settings.target_lang).alias("prompt"))
+        replies = answers(prompts, "key", "prompt", self.model, batch=1).where("error is null")
+        told = replies.select("key", F.explode(F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), "map<string,string>")).alias("term", "__new"))
+        told = asked.select("id", "term", key.alias("key")).join(told, ["key", "term"]).where(~T.is_blank(F.col("__new"))).select("id", "__new")
+        changed = known.join(told, "id", "left").withColumn(column, F.coalesce("__new", column))
+        self.store.replace("terminology", changed.select(*known.columns))
+        self._log("terminology_translate", "completed", rows.select("document_id").distinct())
+
+    def _term_lists(self) -> DataFrame:
+        """``document_id`` and ``glossary``: its translated terms for a prompt, approved and frequent ones first."""
+        column = language_column("translation", self.settings.target_lang)
+        order = Window.partitionBy("document_id").orderBy(F.desc(F.coalesce("approved", F.lit(False))), F.desc_nulls_last("frequency"), "term", "id")
+        rows = self._table("terminology").where(~T.is_blank(F.coalesce(column, F.lit("")))).withColumn("n", F.row_number().over(order)).where("n <= 30")
+        listed = F.array_sort(F.collect_list(F.struct("n", "term", F.col(column).alias("translation"))))
+        return rows.groupBy("document_id").agg(F.transform(listed, lambda x: F.struct(x["term"].alias("term"), x["translation"].alias("translation"))).alias("glossary"))
 
     def translate(self) -> None:
         """Pages without a translation.  Documents run in parallel, the pages of one in order; a page's prompt has the translations before it."""
@@ -116,10 +160,9 @@ class Pipeline:
         is_open = ~T.is_blank(F.coalesce("original_content", F.lit(""))) & T.is_blank(F.coalesce(column, F.lit("")))
         todo = pages.where(is_open).select("document_id").distinct()
         titles = self._table("doc_catalog").select(F.col("id").alias("document_id"), "file_name", "total_pages")
-        rows = pages.join(todo, "document_id", "left_semi").join(titles, "document_id", "left")
-        no_terms = F.array().cast("array<struct<term:string,translation:string>>")
+        rows = pages.join(todo, "document_id", "left_semi").join(titles, "document_id", "left").join(self._term_lists(), "document_id", "left")
         head = context.prompt_head(F.coalesce("file_name", F.lit("")), F.col("page_number"), F.coalesce("total_pages", F.lit(0)), self.settings.source_lang, self.settings.target_lang)
-        tail = context.prompt_tail(no_terms, F.col("original_content"), self.settings.target_lang)
+        tail = context.prompt_tail(F.col("glossary"), F.col("original_content"), self.settings.target_lang)
         asked = rows.select("document_id", "page_number", "id", head.alias("head"), tail.alias("tail"), F.col(column).alias("translation"), is_open.alias("open"))
         replies = answers_in_order(asked, self.model).where("error is null").select("id", F.col("reply").alias(column))
         changed = pages.drop(column).join(replies.withColumnRenamed(column, "__new"), "id", "left").join(pages.select("id", F.col(column).alias("__old")), "id")

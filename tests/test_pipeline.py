@@ -60,3 +60,36 @@ def test_context_of_a_page_is_that_of_the_columns(spark):
         for d, n, _ in rows:
             before = [(m, t.strip()) for e, m, t in reversed(rows) if e == d and m < n and t]
             assert context.context_of(before, budget, snippet) == want[d, n]
+
+
+def test_glossary_and_translated_terms_reach_the_prompts(spark, tmp_path):
+    class Terms:
+        name = "terms"
+
+        def answer(self, prompts):
+            import json
+            import re
+
+            return ["```json\n" + json.dumps({t: t.upper() for t in re.findall('- Term: "(.*)"', p)}) + "\n```" if p.startswith("Translate these terms") else p for p in prompts]
+
+    source = tmp_path / "in"
+    source.mkdir()
+    listed = "\n".join(f"| mot{i} | the meaning of {i} |" for i in range(3))
+    (source / "a.md").write_text(f"# Glossary\n\n| Term | Definition |\n| --- | --- |\n{listed}\n| Mot1 | again |\n\n" + "tide audit " * 5, encoding="utf-8")
+    (source / "b.txt").write_text(" ".join(f"alpha{chr(97 + i // 26)}{chr(97 + i % 26)} " * 4 for i in range(60)), encoding="utf-8")
+    (source / "c.txt").write_text("nothing comes back", encoding="utf-8")
+    store = Store(spark, str(tmp_path / "store"))
+    settings = pipeline.Settings(input_dir=str(source), output_dir=str(tmp_path / "out"))
+    pipeline.Pipeline(spark, store, settings, Terms).run()
+    name = {r["id"]: r["file_name"] for r in store.read("doc_catalog").collect()}
+    rows = store.read("terminology").collect()
+    of_a = {r["term"]: r for r in rows if name[r["document_id"]] == "a.md"}
+    assert {t: of_a[t]["translation_en"] for t in ("mot0", "mot1", "mot2")} == {f"mot{i}": f"the meaning of {i}" for i in range(3)}
+    assert (of_a["mot0"]["frequency"], of_a["mot0"]["context"], of_a["mot0"]["approved"]) == (100, "From glossary page 1", True)
+    assert of_a["tide"]["translation_en"] == "TIDE" and "Mot1" not in of_a
+    of_b = [r for r in rows if name[r["document_id"]] == "b.txt"]
+    assert len(of_b) > 50 and all(r["translation_en"] == r["term"].upper() for r in of_b)
+    prompt = {name[r["document_id"]]: r["en_content"] for r in store.read("pages").collect()}
+    assert "  - mot0 → the meaning of 0\n" in prompt["a.md"] and "  - tide → TIDE\n" in prompt["a.md"]
+    assert prompt["b.txt"].count(" → ") == 30 and "glossary (use" not in prompt["c.txt"]
+    assert len(rows) == len({r["id"] for r in rows})

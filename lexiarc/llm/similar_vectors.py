@@ -103,7 +103,7 @@ class Codebooks:
         return codes[:, 0], x - residual[:, 0], cells
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Lloyd's rounds from a random start; empty centroids are drawn again."""
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
@@ -128,11 +128,11 @@ def train(sample: np.ndarray, rows: int, options: Options, seed: int = 7) -> Cod
     if not len(sample):
         return Codebooks(np.zeros((1, options.dim), "float32"))
     cells = int(np.clip(rows // options.cell_mean, 1, options.max_cells))
-    books = Codebooks(_kmeans(sample, cells, options.rounds, seed))
+    books = Codebooks(kmeans(sample, cells, options.rounds, seed))
     _, near, _ = books.encode(sample, 1)
     residual = sample - near
     for i in range(options.books - 1):
-        book = _kmeans(residual, options.book_size, options.rounds, seed + i + 1)
+        book = kmeans(residual, options.book_size, options.rounds, seed + i + 1)
         _, near, _ = Codebooks(book).encode(residual, 1)
         residual = residual - near
         books.others.append(book)

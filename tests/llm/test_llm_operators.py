@@ -123,7 +123,9 @@ def test_pieces_of_odd_rows(spark):
 
 # ---- leaks ----
 def test_longest_common_parts():
-    assert leaked_items._common_run([1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 4, 5]) == 3
+    assert leaked_items._longest_run([1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 4, 5]) == (3, 0, 1)
+    a, b = np.array([[1, 2, 3, 9, 4, 5], [1, 2, 3, 4, 5, -1]]), np.array([[7, 1, 2, 3, 4, 5, -2], [0, 0, 0, 0, 0, 0, 0]])
+    assert leaked_items._runs_of_pairs(a, b).tolist() == [3, 0]
     assert leaked_items._common_subsequence([1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 4, 5]) == 5
     assert leaked_items._common_subsequence([], [1]) == 0
 
@@ -140,6 +142,39 @@ def test_leaks_of_odd_rows(spark):
     assert leaked_items.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_cells_leave_no_candidate_out():
+    rng = np.random.default_rng(5)
+    scaled = rng.normal(size=(512, 24)).astype("float32")
+    options = leaked_items.Options(features=512, rank=24)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = leaked_items._Items(list(range(40)), [" ".join(rng.choice(vocabulary, rng.integers(5, 90))) for _ in range(40)], scaled, options)
+    vectors, owner = (np.concatenate(v) for v in zip(*items.cells))
+    passages = leaked_items._rows_to_unit(vectors[rng.integers(0, len(vectors), 200)] + rng.normal(size=(200, 24)).astype("float32") * 0.15)
+    cosines = passages @ vectors.T
+    for least in (0.3, 0.65, 0.9):
+        row, col = np.nonzero(cosines >= least)
+        got = items.near(passages, least)
+        assert set(zip(got[0].tolist(), got[1].tolist())) == set(zip(row.tolist(), owner[col].tolist()))
+
+
+def test_planted_paraphrases(spark, sf_dir):
+    """Items told again in other words, inside documents of the tables: the words for things change, names and numbers stay."""
+    rng = np.random.default_rng(8)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 500").orderBy("doc_id").collect()]
+    items = spark.read.parquet(f"{sf_dir}/eval_items.parquet").where("lang = 'en'").orderBy("item_id").limit(40)
+    rows, planted = [], set()
+    for k, r in enumerate(items.collect()):
+        told = [w if i % 8 else f"otherwise{rng.integers(30)}" for i, w in enumerate(r["text"].split())]
+        rows.append((k, f"{texts[k % len(texts)]} {' '.join(told)} {texts[(k + 1) % len(texts)]}"))
+        planted.add((k, r["item_id"]))
+    rows += [(1000 + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = leaked_items.leaks(docs, "doc_id", "text", items, "item_id", "text").where("run < 15")
+    got = {(r["record"], r["item"]) for r in found.collect() if r["record"] < 1000}
+    assert len(got & planted) >= 0.9 * len(planted)
+    assert len(got - planted) <= 0.1 * len(planted)
+
+
 # ---- cut texts ----
 def test_cut_texts(spark):
     rows = [

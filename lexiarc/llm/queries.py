@@ -34,9 +34,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.mutual_pairs(found).withColumnRenamed("kind", "record_kind")
 
 
+#: Without a least cosine the neighbours have cosines near 0.6, so more cells are asked and more books tell them apart.
+NEAREST = similar_vectors.Options(probe_scale=1.2, books=8, shortlist_share=0.2)
+
+
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every record whose id is divisible by 20, among all records."""
-    out = similar_vectors.neighbours(_all_vectors(spark, sf_dir), 5, queries=F.col("id") % 20 == 0, options=similar_vectors.Options(max_cells=24, probes=14, shortlist=150, shortlist_share=0.08, books=6, book_size=256, cell_rows=60_000))
+    out = similar_vectors.neighbours(_all_vectors(spark, sf_dir), 5, queries=F.col("id") % 20 == 0, options=NEAREST)
     return out.select(F.col("kind").alias("record_kind"), "id", "other", F.round("cosine", 6).alias("cosine"))
 
 

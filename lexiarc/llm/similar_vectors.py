@@ -2,7 +2,8 @@
 
 Training (driver, on a bounded sample): codebooks of full-dimensional residual
 centroids.  The first has as many centroids as the collection asks for, the
-others a fixed number.
+others a fixed number; these are then fitted again together, by least squares over
+the sums that the beam search chose, so that a book corrects the others.
 
 Encoding (executors): beam search.  A vector keeps its ``beam`` best partial
 sums through all codebooks; the best one gives its codes and the norm of its
@@ -11,9 +12,8 @@ inverted index: a vector is stored in its own cell and asks the nearest cells.
 
 Search (executors, one group per cell): a query scores the vectors of a cell by
 adding table entries - its products with all centroids - at their codes and
-divides by the stored norms.  The best candidates, or all that can reach
-``min_cosine`` given the stored error of either reconstruction, are scored again
-with the exact vectors.  Every vector travels once to each cell it asks, nothing
+divides by the stored norms.  The best candidates of a cell are scored again with
+the exact vectors.  Every vector travels once to each cell it asks, nothing
 else does; results are (vector, neighbour, cosine) and per-vector top k.
 
 Vectors of exactly one direction are one vector in the index: only the copy with
@@ -48,10 +48,12 @@ class Options:
     ``sample_rows`` bounds the rows that the codebooks are fitted on; every row
     is indexed.  ``cell_mean`` is the wished mean size of a cell while
     ``max_cells`` allows it, ``cell_rows`` the size above which one is divided.
-    ``probes`` cells are searched for every vector.  Of a divided one ``sub_probes``
-    parts are searched if there is a ``min_cosine``, else all of it, and
-    ``shortlist`` candidates per cell or block, or ``shortlist_share`` of it, are
-    scored exactly.
+    ``probes`` cells are searched for every vector, or ``probe_scale`` times the root of
+    the number of cells if that is more, so that what is searched grows more slowly than the collection
+    while cells can be added.  Of a divided cell ``sub_probes``
+    parts are searched if there is a ``min_cosine``, else all of it.  The best
+    ``shortlist_share`` of a cell or block by table score, but at least ``shortlist``
+    and twice ``k``, are scored exactly.
     """
 
     dim: int = 64
@@ -60,14 +62,19 @@ class Options:
     max_cells: int = 4096
     cell_rows: int = 6000
     probes: int = 4
+    probe_scale: float = 0.0
     sub_probes: int = 12
     books: int = 4
     book_size: int = 64
     beam: int = 4
-    shortlist: int = 32
-    shortlist_share: float = 0.0
+    shortlist: int = 12
+    shortlist_share: float = 0.03
     rounds: int = 8
 
+    def probed(self, cells: int) -> int:
+        """How many of the cells a query asks."""
+        return min(cells, max(self.probes, round(self.probe_scale * cells**0.5)))
+
 
 @dataclass
 class Codebooks:
@@ -136,10 +143,33 @@ def train(sample: np.ndarray, rows: int, options: Options, seed: int = 7) -> Cod
         _, near, _ = Codebooks(book).encode(residual, 1)
         residual = residual - near
         books.others.append(book)
+    if books.others:
+        _refit(books, sample, options)
     return books
 
 
-_VISITS = "kind string, id long, v array<float>, codes array<int>, norm float, err float, asks boolean, stored boolean, cell int, part int"
+def _refit(books: Codebooks, sample: np.ndarray, options: Options) -> None:
+    """All books but the first anew: the least squares of what remains of the sample, given the codes of the beam search."""
+    codes = np.concatenate([books.encode(sample[s : s + 4096], options.beam)[0] for s in range(0, len(sample), 4096)])
+    rest = (sample - books.first[codes[:, 0]]).astype("float64")
+    ends = np.cumsum([0] + [len(b) for b in books.others])
+    gram, target = np.zeros((ends[-1], ends[-1])), np.zeros((ends[-1], rest.shape[1]))
+    for i, a in enumerate(books.others):
+        own = codes[:, i + 1]
+        order = np.argsort(own, kind="stable")
+        used, first = np.unique(own[order], return_index=True)
+        target[ends[i] + used] = np.add.reduceat(rest[order], first, axis=0)
+        for j, b in enumerate(books.others):
+            both = np.bincount(own * len(b) + codes[:, j + 1], minlength=len(a) * len(b))
+            gram[ends[i] : ends[i + 1], ends[j] : ends[j + 1]] = both.reshape(len(a), len(b))
+    # a small weight on the books as they are: sums of books are known up to what one takes from another
+    weight = 1e-3 * len(sample) / ends[-1]
+    before = np.concatenate(books.others)
+    solved = np.linalg.solve(gram + weight * np.eye(ends[-1]), target + weight * before).astype("float32")
+    books.others = [solved[a:b] for a, b in zip(ends, ends[1:])]
+
+
+_VISITS = "kind string, id long, v array<float>, codes array<int>, norm float, asks boolean, stored boolean, cell int, part int"
 _FOUND = "kind string, id long, other long, cosine double"
 
 
@@ -193,9 +223,8 @@ def _direction_keys(rows: DataFrame, dim: int) -> DataFrame:
     return rows.mapInArrow(keys, "kind string, id long, h1 long, h2 long").distinct()
 
 
-def _copies(rows: DataFrame, dim: int) -> DataFrame:
+def _copies(keys: DataFrame) -> DataFrame:
     """``kind``, ``first``, ``id`` of all members of directions with several records."""
-    keys = _direction_keys(rows, dim)
     several = keys.groupBy("kind", "h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return keys.join(several, ["kind", "h1", "h2"]).select("kind", "first", "id")
 
@@ -211,7 +240,8 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
     """
     spark = rows.sparkSession
     wanted = F.lit(True) if queries is None else queries
-    copies = cut_lineage(_copies(rows, options.dim))
+    keys = cut_lineage(_direction_keys(rows, options.dim))  # 32 bytes a row
+    copies = cut_lineage(_copies(keys))
     extra = copies.where("id <> first").select("kind", "id")
     n_extra = extra.count()
     index = rows.withColumn("asks", wanted)
@@ -222,17 +252,18 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
         hint = F.broadcast if small else (lambda df: df)
         index = index.join(hint(extra), ["kind", "id"], "left_anti").join(hint(asked_by), ["kind", "id"], "left")
         index = index.select("kind", "id", "v", (F.col("asks") | F.col("__asked").isNotNull()).alias("asks"))
-    total, asking = rows.agg(F.count(F.lit(1)), F.count(F.when(wanted, 1))).first()
+    total, asking = keys.agg(F.count(F.lit(1)), F.count(F.when(wanted, 1))).first()
     # a bounded sample, drawn by hash so that it doesn't depend on the order of rows
     share = min(1.0, 1.1 * options.sample_rows / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64("id", "kind", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000)).select("v").limit(options.sample_rows)
     sample, _ = _unit(_matrix(drawn.toArrow().column(0), options.dim))
     books = train(sample, total, options)
     # the expected size of each cell decides whether it is divided
-    coded = [books.encode(sample[s : s + 4096], 1, options.probes) for s in range(0, len(sample), 4096)]
+    probes = options.probed(len(books.first))
+    coded = [books.encode(sample[s : s + 4096], 1, probes) for s in range(0, len(sample), 4096)]
     parts = _parts([codes[:, 0] for codes, _, _ in coded], total, len(sample), books, options)
     # without a least cosine the queries of a cell are divided, too, and meet all that is stored there
-    turns = _parts([cells[:, : options.probes].ravel() for _, _, cells in coded], asking, len(sample), books, options) if min_cosine is None else None
+    turns = _parts([cells[:, :probes].ravel() for _, _, cells in coded], asking, len(sample), books, options) if min_cosine is None else None
     held = spark.sparkContext.broadcast((books, parts, turns))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +281,12 @@ def neighbours(rows: DataFrame, k: int, *, min_cosine: float | None = None, quer
         found = found.select("kind", F.explode(sides).alias("s"), "cosine").select("kind", "s.id", "s.other", "cosine")
     found = found.groupBy("kind", "id", "other").agg(F.max("cosine").alias("cosine"))
     if n_extra:
-        found = _expanded(found, copies, k)
-    found = found.where(wanted)
+        # other directions behind the first k can't give one of the k records: each has a record of its own before theirs
+        found = _expanded(_first_k(found, k), copies, k)
+    return _first_k(found.where(wanted), k)
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc(F.round("cosine", 6)), F.col("other")))
     return found.withColumn("place", place).where(F.col("place") <= k).select("kind", "id", "other", "cosine")
 
@@ -268,10 +303,10 @@ def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, turns: n
     mask = pa.array(good)
     kind, ids, asks = batch.column(0).filter(mask), batch.column(1).filter(mask), batch.column(3).filter(mask).to_numpy(zero_copy_only=False).astype(bool)
     n = len(x)
-    codes, near, cells = books.encode(x, options.beam, options.probes) if n else (np.zeros((0, 1 + len(books.others)), "int32"), x, np.zeros((0, 1), "int64"))
+    codes, near, cells = books.encode(x, options.beam, options.probed(len(books.first))) if n else (np.zeros((0, 1 + len(books.others)), "int32"), x, np.zeros((0, 1), "int64"))
     own = codes[:, 0].astype("int64")
     # (row, cell) once each: the own cell, and for queries the nearest ones
-    pairs = np.concatenate([own[:, None], np.where(asks[:, None], cells[:, : options.probes], own[:, None])], axis=1)
+    pairs = np.concatenate([own[:, None], np.where(asks[:, None], cells[:, : options.probed(len(books.first))], own[:, None])], axis=1)
     row, cell = np.unique(np.stack([np.repeat(np.arange(n), pairs.shape[1]), pairs.ravel()], 1), axis=0).T if n else (np.zeros(0, "int64"), np.zeros(0, "int64"))
     number = ids.to_numpy(zero_copy_only=False).astype("int64")
     if turns is None:
@@ -291,10 +326,9 @@ def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, turns: n
     return pa.RecordBatch.from_arrays(
         [
             kind.take(take), ids.take(take), _lists(x[row], pa.float32()), _lists(codes[row].astype("int32"), pa.int32()),
-            pa.array(np.linalg.norm(near, axis=1)[row], pa.float32()), pa.array(np.linalg.norm(x - near, axis=1)[row], pa.float32()),
-            pa.array(asked), pa.array(stored), pa.array(cell, pa.int32()), pa.array(part, pa.int32()),
+            pa.array(np.linalg.norm(near, axis=1)[row], pa.float32()), pa.array(asked), pa.array(stored), pa.array(cell, pa.int32()), pa.array(part, pa.int32()),
         ],
-        ["kind", "id", "v", "codes", "norm", "err", "asks", "stored", "cell", "part"],
+        ["kind", "id", "v", "codes", "norm", "asks", "stored", "cell", "part"],
     )
 
 
@@ -358,8 +392,9 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
     if len(ids) and len(query_ids):
         x, queries = _matrix(base["v"], options.dim), _matrix(asking["v"], options.dim)
         codes = _matrix(base["codes"], 1 + len(books.others), "int32")
-        norms, errors = np.maximum(base["norm"].to_numpy(), np.float32(1e-6)), base["err"].to_numpy()
+        norms = np.maximum(base["norm"].to_numpy(), np.float32(1e-6))
         center = books.first[codes[0, 0]]
+        width = min(len(ids), max(options.shortlist, 2 * k + 1, int(np.ceil(options.shortlist_share * len(ids)))))
         block = max(1, min(1024, 1_000_000 // len(ids)))
         for s in range(0, len(queries), block):
             q = queries[s : s + block]
@@ -367,45 +402,30 @@ def _search_cell(table: pa.Table, books: Codebooks, k: int, least: float | None,
             score = np.repeat((q @ center)[:, None], len(ids), axis=1)
             for m, book in enumerate(books.others, start=1):
                 score += np.take(q @ book.T, codes[:, m], axis=1)
-            if least is not None:
-                # q.x = q.near + q.rest and |q| = 1, so q.x is at most the score plus the stored error
-                row, col = np.nonzero(score + errors[None, :] >= least)
-            else:
-                width = min(len(ids), max(options.shortlist, 2 * k + 1, int(options.shortlist_share * len(ids))))
-                best = np.argpartition(-(score / norms), width - 1, axis=1)[:, :width] if width < len(ids) else np.tile(np.arange(width), (len(q), 1))
-                row, col = np.repeat(np.arange(len(q)), width), best.ravel()
-            row, col, exact = _exact(q, x, row, col, least)
-            keep = ids[col] != query_ids[s + row]
+            score /= norms
+            best = np.argpartition(-score, width - 1, axis=1)[:, :width] if width < len(ids) else np.tile(np.arange(width), (len(q), 1))
+            row, col = np.repeat(np.arange(len(q)), width), best.ravel()
+            exact = _exact(q, x, row, col)
+            keep = (ids[col] != query_ids[s + row]) & (exact >= (-2.0 if least is None else least))
             row, col, exact = row[keep], col[keep], exact[keep]
+            # of rows delivered twice the better one, then the k first of each query
+            order = np.lexsort((-exact, ids[col], row))
+            row, col, exact = row[order], col[order], exact[order]
+            once = np.append(True, (row[1:] != row[:-1]) | (ids[col[1:]] != ids[col[:-1]])) if len(row) else np.zeros(0, bool)
+            row, col, exact = row[once], col[once], exact[once]
             order = np.lexsort((ids[col], -np.round(exact, 6), row))
             row, col, exact = row[order], col[order], exact[order]
-            near = np.arange(len(row)) - np.searchsorted(row, row) < 2 * k  # rows delivered twice may take two places
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
             out.append((query_ids[s + row[near]], ids[col[near]], exact[near]))
     q, o, c = (np.concatenate(z) for z in zip(*out))
     kinds = pa.array([table["kind"][0].as_py()]).take(pa.array(np.zeros(len(q), "int64")))
     return pa.Table.from_arrays([kinds, pa.array(q), pa.array(o), pa.array(c)], ["kind", "id", "other", "cosine"])
 
 
-def _exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates with their exact cosines; with ``least`` only those that reach it.
-
-    Single precision decides which candidates are worth double precision: as one
-    product of matrices where candidates are dense, else pair by pair in chunks,
-    so that memory doesn't grow with their number.
-    """
-    if least is not None:
-        if len(row) * 20 > len(q) * len(x):
-            rough = (q @ x.T)[row, col]
-        else:
-            rough = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 8192]], x[col[i : i + 8192]]) for i in range(0, len(row), 8192)] or [np.zeros(0)])
-        keep = rough >= least - 1e-5
-        row, col = row[keep], col[keep]
+def _exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Cosines of pairs in double precision, in chunks so that memory doesn't grow with their number."""
     parts = [np.einsum("ij,ij->i", q[row[i : i + 8192]].astype("float64"), x[col[i : i + 8192]].astype("float64")) for i in range(0, len(row), 8192)]
-    exact = np.concatenate(parts) if parts else np.zeros(0)
-    if least is not None:
-        keep = exact >= least
-        row, col, exact = row[keep], col[keep], exact[keep]
-    return row, col, exact
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def _expanded(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:

@@ -216,3 +216,17 @@ def script_language(text: Column) -> Column:
 def color_hex(color: Column) -> Column:
     """An integer colour as #rrggbb."""
     return F.concat(F.lit("#"), F.lower(F.lpad(F.hex(color.cast("long")), 6, "0")))
+
+
+def recognition_choice(native: Column, primary: Column, fallback: Column) -> Column:
+    """``source`` and ``quality`` of the text taken, by the qualities of three attempts.
+
+    Native text is taken at once if it is good or excellent.  Else the first
+    recognition is, unless it is poor and the second one is better.  A NULL quality is
+    an attempt that wasn't made.
+    """
+    sound = lambda q: F.coalesce(q.isin("excellent", "good"), F.lit(False))
+    poor = F.coalesce(primary, F.lit("poor")) == "poor"
+    better = F.coalesce(fallback.isin("excellent", "good", "fair"), F.lit(False))
+    source = F.when(sound(native), "native").when(poor & better, "fallback").otherwise("primary")
+    return F.struct(source.alias("source"), F.when(sound(native), native).when(poor & better, fallback).otherwise(F.coalesce(primary, F.lit("poor"))).alias("quality"))

@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..store import cut_lineage
 
 #: Rows of a scope that one task compares with as many others.
-BLOCK = 2000
+BLOCK = 10_000
 
 
 def similar_pairs(rows: DataFrame, record: str, scope: str, vector: str, threshold: float) -> DataFrame:
@@ -53,19 +54,20 @@ def similar_pairs(rows: DataFrame, record: str, scope: str, vector: str, thresho
     return pairs.groupBy("scope", "id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
-def greedy_clusters(rows: DataFrame, record: str, scope: str, vector: str, threshold: float = 0.8, rounds: int = 50) -> DataFrame:
+def greedy_clusters(rows: DataFrame, record: str, scope: str, vector: str, threshold: float = 0.8) -> DataFrame:
     """``scope``, ``id`` and the ``seed`` of its cluster.
 
     In id order a record that no earlier seed has absorbed is a seed, and absorbs
     every later record that reaches the threshold with it.  Rows are decided in
     rounds: a row is a seed once all earlier neighbours are absorbed, and
-    absorbed once one of them is a seed.  Each round is written out; chains
-    longer than ``rounds`` raise an error instead of a wrong result.
+    absorbed once one of them is a seed.  Each round is written out and decides at
+    least the first open row of every scope, so the rounds end; their number is that of the links of the longest
+    chain of neighbours.
     """
     pairs = cut_lineage(similar_pairs(rows, record, scope, vector, threshold).select("scope", "id_a", "id_b"))
     members = pairs.select("scope", F.col("id_a").alias("id")).union(pairs.select("scope", F.col("id_b").alias("id"))).distinct()
     state = cut_lineage(members.withColumn("seed", F.lit(None).cast("long")))
-    for _ in range(rounds):
+    while not state.where("seed is null").isEmpty():
         earlier = pairs.join(state.select("scope", F.col("id").alias("id_a"), F.col("seed").alias("seed_a")), ["scope", "id_a"])
         by_row = earlier.groupBy("scope", F.col("id_b").alias("id")).agg(F.min(F.when(F.col("seed_a") == F.col("id_a"), F.col("id_a"))).alias("by"), F.count_if(F.col("seed_a").isNull()).alias("open"), F.min(F.when(F.col("seed_a").isNull(), F.col("id_a"))).alias("first_open"))
         joined = state.join(by_row, ["scope", "id"], "left")
@@ -73,9 +75,11 @@ def greedy_clusters(rows: DataFrame, record: str, scope: str, vector: str, thres
         absorbed = F.when(F.col("by").isNotNull() & (F.col("first_open").isNull() | (F.col("first_open") > F.col("by"))), F.col("by"))
         seeds = F.when(F.col("by").isNull() & (F.coalesce("open", F.lit(0)) == 0), F.col("id"))
         state = cut_lineage(joined.select("scope", "id", F.coalesce("seed", absorbed, seeds).alias("seed")))
-        if state.where("seed is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("clusters weren't decided within the rounds allowed")
     all_rows = rows.select(F.col(scope).alias("scope"), F.col(record).cast("long").alias("id")).where(F.col(vector).isNotNull() & F.col(record).isNotNull()).distinct()
     return all_rows.join(state, ["scope", "id"], "left").select("scope", "id", F.coalesce("seed", "id").alias("seed"))
+
+
+def by_size(clusters: DataFrame) -> DataFrame:
+    """``scope``, ``seed``, ``size`` and the ``rank`` of each cluster of several records in its scope, the largest first; ties by seed."""
+    sizes = clusters.groupBy("scope", "seed").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return sizes.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("size"), "seed")))

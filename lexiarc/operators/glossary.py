@@ -19,6 +19,7 @@ HEADERS = [
     *((h, "fa") for h in ("واژه‌نامه", "اصطلاحات")),
 ]
 
+# The patterns of entries on a line, and below the signs of a glossary page with their weights.
 COLON = r"(?m)^([^\n:]{2,100}):\s*(.{10,})$"
 DASH = r"(?m)^([^\n\-–—]{2,100})\s*[-–—]\s*(.{10,})$"
 
@@ -104,3 +105,17 @@ def entries(pages: DataFrame, key: list[str], text: str) -> DataFrame:
 def first_of(rows: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def saved(pages: DataFrame, column: str, least: float = 0.7) -> DataFrame:
+    """Entries of the pages that are sure enough to be a glossary's, as rows of the terminology table.
+
+    ``pages`` have ``document_id``, ``page_number``, ``id`` and ``original_content``.
+    Of the entries of a document that are equal but for case the first is kept, in
+    the order of its pages; its definition is the translation in ``column``.
+    """
+    sure = pages.where(confidence(F.col("original_content")) >= least)
+    rows = entries(sure, ["document_id", "page_number", "id"], "original_content")
+    once = first_of(rows, [F.col("document_id"), F.lower(T.strip(F.col("term")))], [F.col("page_number"), F.col("id"), F.col("pos")])
+    page = F.concat(F.lit("From glossary page "), F.col("page_number") + 1)
+    return once.select("document_id", "term", F.lit(100).alias("frequency"), F.col("definition").alias(column), page.alias("context"), F.lit(True).alias("approved"))

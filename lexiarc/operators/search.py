@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -25,8 +26,8 @@ def bm25(rows: DataFrame, record: str, texts: list[str], query: str, k1: float =
     words = F.concat(*(T.words(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in texts))
     tokens = rows.select(F.col(record).alias("id"), words.alias("tokens")).withColumn("dl", F.size("tokens"))
     asked = F.array_distinct(T.words(F.lower(F.lit(query))))
-    n_docs = tokens.agg(F.count(F.lit(1))).scalar()
-    mean_length = tokens.agg(F.avg("dl")).scalar()
+    statistics = tokens.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))).scalar()
+    n_docs, mean_length = statistics["n"], statistics["mean"]
     hits = tokens.where(F.arrays_overlap("tokens", asked)).select("id", "dl", "tokens", F.explode(F.array_intersect("tokens", asked)).alias("token"))
     hits = hits.select("id", "dl", "token", F.size(F.filter("tokens", lambda t: t == F.col("token"))).alias("tf"))
     # one row a query word: bounded by the query
@@ -52,10 +53,12 @@ def hybrid(text_scores: DataFrame, vector_scores: DataFrame, limit: int = 20, we
 
     Negative similarities count as 0, so that scaling keeps the order.
     """
+    # the best of each is taken over the few rows that are left of a ranking
+    few = Window.partitionBy(F.lit(0))
     t = top(text_scores, "score", 2 * limit)
     v = top(vector_scores, "similarity", 2 * limit)
-    best_t, best_v = t.agg(F.max("score")).scalar(), v.agg(F.max("similarity")).scalar()
-    both = t.join(v, "id", "full_outer")
+    both = t.join(v, "id", "full_outer").withColumn("best_t", F.max("score").over(few)).withColumn("best_v", F.max("similarity").over(few))
+    best_t, best_v = F.col("best_t"), F.col("best_v")
     by_text = F.coalesce(F.try_divide(F.coalesce("score", F.lit(0.0)), best_t), F.lit(0.0))
     by_vector = F.coalesce(F.try_divide(F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(0.0)), F.greatest(best_v, F.lit(0.0))), F.lit(0.0))
     return top(both.select("id", (weight * by_text + (1 - weight) * by_vector).alias("combined_score"), F.col("score").alias("fts_score"), F.col("similarity").alias("semantic_score")), "combined_score", limit)

@@ -103,7 +103,7 @@ class Pipeline:
         docs = terms.concat_pages(todo, "document_id", "page_number", "original_content")
         found = terms.extract_terms(docs, "document_id", "text", self.settings.min_frequency, self.settings.max_terms).select("document_id", "term", F.col("frequency").cast("int").alias("frequency"))
         # a glossary's own entries come first and are approved; a term that is among them isn't taken again
-        listed = self._glossary(todo, column)
+        listed = glossary.saved(todo, column, GLOSSARY_CONFIDENCE)
         name = F.lower(T.strip(F.col("term"))).alias("name")
         others = found.withColumn("name", name).join(listed.select("document_id", name), ["document_id", "name"], "left_anti").drop("name")
         both = listed.unionByName(others.withColumn("approved", F.lit(not self.settings.review)), allowMissingColumns=True)
@@ -119,14 +119,6 @@ class Pipeline:
         self._log("terminology_extract", "completed", docs.select("document_id"))
         self._translate_terms()
 
-    def _glossary(self, pages: DataFrame, column: str) -> DataFrame:
-        """Entries of glossary pages, the first of each term of a document; the definition is its translation."""
-        sure = pages.where(glossary.confidence(F.col("original_content")) >= GLOSSARY_CONFIDENCE)
-        rows = glossary.entries(sure, ["document_id", "page_number", "id"], "original_content")
-        once = glossary.first_of(rows, [F.col("document_id"), F.lower(T.strip(F.col("term")))], [F.col("page_number"), F.col("id"), F.col("pos")])
-        context_of = F.concat(F.lit("From glossary page "), F.col("page_number") + 1)
-        return once.select("document_id", "term", F.lit(100).alias("frequency"), F.col("definition").alias(column), context_of.alias("context"), F.lit(True).alias("approved"))
-
     def _translate_terms(self) -> None:
         """Translations of terms that have none, asked in batches of a document; a batch that fails is asked again by the next run."""
         column = language_column("translation", self.settings.target_lang)

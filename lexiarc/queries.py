@@ -358,16 +358,22 @@ def _translated(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("document_id", "page_number").agg(F.min(T.strip(F.col("translation"))).alias("translation"))
 
 
-@query(f"SELECT document_id, page_number, md5(right(last_value(t IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 200)) AS ending FROM {_TRANSLATED}")
+_ENDING_SQL = "right(last_value(t IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 200)"
+
+
+@query(f"SELECT document_id, page_number, md5({_ENDING_SQL}) AS ending FROM {_TRANSLATED}")
 def asof_previous_page(spark: SparkSession, d: str) -> DataFrame:
     return context.previous_context(_translated(spark, d)).select("document_id", "page_number", F.md5("previous_ending").alias("ending"))
 
 
-@query(f"""WITH t AS (SELECT document_id, page_number, t, sum(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM {_TRANSLATED}),
+_SUMMARY_SQL = f"""WITH t AS (SELECT document_id, page_number, t, sum(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM {_TRANSLATED}),
 c AS (SELECT document_id, page_number AS n, t, row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS k FROM {_TRANSLATED} WHERE t IS NOT NULL),
 j AS (SELECT t.document_id, t.page_number, a.n AS an, left(a.t, 250) || CASE WHEN length(a.t) > 250 THEN '...' ELSE '' END AS one, b.n AS bn, b.t AS bt
   FROM t LEFT JOIN c a ON a.document_id = t.document_id AND a.k = t.k LEFT JOIN c b ON b.document_id = t.document_id AND b.k = t.k - 1)
-SELECT document_id, page_number, md5(CASE WHEN an IS NOT NULL THEN '[Page ' || (an + 1) || ']: ' || one || CASE WHEN bn IS NOT NULL AND 500 - length(one) > 0 THEN chr(10) || '[Page ' || (bn + 1) || ']: ' || left(bt, least(500 - length(one), 250)) || CASE WHEN length(bt) > 250 THEN '...' ELSE '' END ELSE '' END END) AS summary FROM j""")
+SELECT document_id, page_number, md5(CASE WHEN an IS NOT NULL THEN '[Page ' || (an + 1) || ']: ' || one || CASE WHEN bn IS NOT NULL AND 500 - length(one) > 0 THEN chr(10) || '[Page ' || (bn + 1) || ']: ' || left(bt, least(500 - length(one), 250)) || CASE WHEN length(bt) > 250 THEN '...' ELSE '' END ELSE '' END END) AS summary FROM j"""
+
+
+@query(_SUMMARY_SQL)
 def context_summary(spark: SparkSession, d: str) -> DataFrame:
     return context.previous_context(_translated(spark, d)).select("document_id", "page_number", F.md5("previous_summary").alias("summary"))
 
@@ -399,12 +405,13 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 (SELECT count(DISTINCT id) FROM processing_log WHERE level = 'ERROR') AS errors""")
 def processing_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "doc_catalog").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("total_pages"), F.lit(0)).alias("total_pages"))
-    pages = read(spark, d, "pages")
-    extracted = pages.where("original_content is not null").agg(F.count_distinct("id")).scalar()
-    translated = pages.where(F.coalesce("ar_content", "en_content", "fr_content").isNotNull()).agg(F.count_distinct("id")).scalar()
-    rows = read(spark, d, "terminology").select("approved")
+    is_translated = F.coalesce("ar_content", "en_content", "fr_content").isNotNull()
+    # a page delivered twice is one: its two marks are combined per id before they are counted
+    pages = read(spark, d, "pages").groupBy("id").agg(F.max(F.col("original_content").isNotNull()).alias("e"), F.max(is_translated).alias("t"))
+    pages = pages.agg(F.struct(F.count_if("e").alias("pages"), F.count_if("t").alias("translated"))).scalar()
+    rows = read(spark, d, "terminology").agg(F.struct(F.count(F.lit(1)).alias("terms"), F.count_if("approved").alias("approved"))).scalar()
     errors = read(spark, d, "processing_log").where("level = 'ERROR'").agg(F.count_distinct("id")).scalar()
-    return docs.select("documents", "total_pages", extracted.alias("pages"), translated.alias("translated"), rows.agg(F.count(F.lit(1))).scalar().alias("terms"), rows.agg(F.count_if("approved")).scalar().alias("approved"), errors.alias("errors"))
+    return docs.select("documents", "total_pages", pages["pages"].alias("pages"), pages["translated"].alias("translated"), rows["terms"].alias("terms"), rows["approved"].alias("approved"), errors.alias("errors"))
 
 
 @query("SELECT id, round(coalesce(CAST(items_completed AS DOUBLE) / nullif(items_total, 0), 0) * 100, 1) AS percent FROM (SELECT DISTINCT ON (id) * FROM processing_state)")
@@ -584,9 +591,9 @@ def union_all(spark: SparkSession, d: str) -> DataFrame:
     return part("in_progress").unionByName(part("pending"))
 
 
-@query("SELECT id AS document_id FROM doc_catalog EXCEPT SELECT document_id FROM terminology")
+@query("SELECT id AS document_id FROM doc_catalog EXCEPT SELECT document_id FROM processing_log WHERE level = 'ERROR'")
 def set_except(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "doc_catalog").select(F.col("id").alias("document_id")).subtract(read(spark, d, "terminology").select("document_id"))
+    return read(spark, d, "doc_catalog").select(F.col("id").alias("document_id")).subtract(read(spark, d, "processing_log").where("level = 'ERROR'").select("document_id"))
 
 
 @query("SELECT term FROM terminology INTERSECT SELECT translation_en FROM terminology")
@@ -645,9 +652,12 @@ def extract_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.extract_terms(_docs(spark, d), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH e AS ({ORACLE_SQL["extract_terms"]}), s AS (SELECT e.document_id, e.term, t, string_split(t, e.term) AS parts FROM e JOIN (SELECT doc_id, {_sql_norm('text')} AS t FROM documents WHERE text IS NOT NULL) d ON d.doc_id = e.document_id),
+o AS (SELECT *, unnest(range(1, least(len(parts) - 1, 3) + 1)) AS i FROM s WHERE len(parts) > 1),
+p AS (SELECT *, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(term) AS BIGINT) AS begin_at FROM o)
+SELECT document_id, term, CASE WHEN begin_at > 50 THEN '...' ELSE '' END || trim(substr(t, greatest(begin_at - 50, 0) + 1, least(begin_at + length(term) + 50, length(t)) - greatest(begin_at - 50, 0))) || CASE WHEN begin_at + length(term) + 50 < length(t) THEN '...' ELSE '' END AS context FROM p""")
 def term_contexts(spark: SparkSession, d: str) -> DataFrame:
-    found = terms.extract_terms(_docs(spark, d), "doc_id", "text").where("n = 1")
+    found = terms.extract_terms(_docs(spark, d), "doc_id", "text")
     texts = _docs(spark, d).select(F.col("doc_id").alias("document_id"), T.normalize(F.col("text")).alias("t"))
     return found.join(texts, "document_id").select("document_id", "term", F.explode(terms.contexts(F.col("t"), F.col("term"))).alias("context"))
 
@@ -732,18 +742,45 @@ def glossary_dash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return glossary.dash_pairs(_docs(spark, d), ["doc_id"], "text").drop("pos")
 
 
-@query()
+#: The tables of the documents have no head; this one makes them tables of terms.
+_TABLE_HEAD = "\n\n| Term | Meaning |\n| --- | --- |\n| "
+_HEADED = f"(SELECT doc_id, replace(text, chr(10) || chr(10) || '| ', '{_TABLE_HEAD}') AS text FROM documents WHERE text IS NOT NULL)"
+
+
+def _sql_table(docs: str) -> str:
+    """Entries of tables: blocks of rows, of which one below a separator counts once a head row came since the last table that ended."""
+    return rf"""(WITH l AS (SELECT doc_id, i, {_sql_strip('x')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM {docs})),
+c AS (SELECT *, starts_with(line, '|') AND ends_with(line, '|') AS is_row, list_transform(string_split(line, '|')[2:-2], lambda x: {_sql_strip('x')}) AS cells FROM l),
+p AS (SELECT *, is_row AND len(cells) > 0 AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^[-:]+$'))) = 0 AS bar FROM c),
+g AS (SELECT *, sum(CASE WHEN is_row THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM p),
+f AS (SELECT *, is_row AND sum(CASE WHEN bar THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY i) > 0 AS below FROM g),
+r AS (SELECT *, sum(CASE WHEN NOT is_row AND before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS tables FROM (SELECT *, coalesce(lag(below) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM f)),
+h AS (SELECT *, sum(CASE WHEN is_row AND NOT bar AND NOT below THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, tables ORDER BY i) > 0 AS headed FROM r)
+SELECT doc_id, i AS pos, cells[1] AS term, cells[2] AS definition FROM h WHERE is_row AND NOT bar AND below AND headed AND len(cells) >= 2 AND cells[1] <> '' AND cells[2] <> '' AND length(cells[1]) < 200)"""
+
+
+@query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, term, definition FROM {_sql_table(_HEADED)}")
 def glossary_table_entries(spark: SparkSession, d: str) -> DataFrame:
-    return glossary.table_pairs(_docs(spark, d), ["doc_id"], "text")
+    docs = _docs(spark, d).select("doc_id", F.replace("text", F.lit("\n\n| "), F.lit(_TABLE_HEAD)).alias("text"))
+    return glossary.table_pairs(docs, ["doc_id"], "text")
+
+
+def _sql_placed(pattern: str, docs: str) -> str:
+    return rf"""(SELECT doc_id, pos, trim(regexp_replace(term, '[\n\t\r]', ' ', 'g')) AS term, trim(definition) AS definition FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}', 1)) AS term, unnest(regexp_extract_all(text, '{pattern}', 2)) AS definition, unnest(range(len(regexp_extract_all(text, '{pattern}', 1)))) AS pos FROM {docs})
+WHERE length(trim(regexp_replace(term, '[\n\t\r]', ' ', 'g'))) BETWEEN 1 AND 149 AND NOT starts_with(trim(regexp_replace(term, '[\n\t\r]', ' ', 'g')), '#'))"""
+
 
+_SURE = f"(SELECT * FROM {_DOCS} WHERE {_sql_confidence('text')} >= 0.7)"
 
-@query()
+
+@query(f"""WITH e AS (SELECT 0 AS m, * FROM {_sql_table(_SURE)} UNION ALL SELECT 1, * FROM {_sql_placed(glossary.COLON, _SURE)} UNION ALL SELECT 2, * FROM {_sql_placed(glossary.DASH, _SURE)}),
+f AS (SELECT * FROM e QUALIFY m = min(m) OVER (PARTITION BY doc_id)),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, lower({_sql_strip('term')}) ORDER BY pos) = 1)
+SELECT doc_id AS document_id, term, 100 AS frequency, definition AS translation_en, 'From glossary page 1' AS context, true AS approved FROM o""")
 def glossary_save(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of glossary documents, the first of each term."""
-    pages = _docs(spark, d).where(glossary.confidence(F.col("text")) >= 0.5)
-    rows = glossary.entries(pages, ["doc_id"], "text")
-    once = glossary.first_of(rows, [F.lower(T.strip(F.col("term")))], [F.col("doc_id"), F.col("pos")])
-    return once.select("doc_id", "term", "definition", F.lit(100).alias("frequency"), F.lit("From glossary page 1").alias("context"), F.lit(True).alias("approved"))
+    """Entries of glossary documents, the first of each term of a document."""
+    pages = _docs(spark, d).select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_number"), F.col("doc_id").alias("id"), F.col("text").alias("original_content"))
+    return glossary.saved(pages, "translation_en")
 
 
 @query("SELECT doc_id, list_max(list_transform(string_split(text, chr(10) || chr(10)), lambda p: length(p))) AS longest FROM documents WHERE text IS NOT NULL")
@@ -751,7 +788,13 @@ def chunk_longest_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_max(F.transform(F.split("text", "\n\n"), lambda p: F.length(p))).cast("long").alias("longest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS ps FROM {_DOCS}),
+s(doc_id, i, open, done) AS (SELECT doc_id, 0, '', NULL::VARCHAR FROM p UNION ALL
+  SELECT s.doc_id, i + 1, CASE WHEN length(open) + length(ps[i + 1]) + 2 <= 4000 THEN open ELSE '' END || ps[i + 1] || chr(10) || chr(10),
+    CASE WHEN length(open) + length(ps[i + 1]) + 2 > 4000 AND {_sql_strip('open')} <> '' THEN {_sql_strip('open')} END FROM s JOIN p ON p.doc_id = s.doc_id WHERE i < len(ps)),
+c AS (SELECT doc_id, i, done AS chunk FROM s WHERE done IS NOT NULL UNION ALL SELECT s.doc_id, i + 1, {_sql_strip('open')} FROM s JOIN p ON p.doc_id = s.doc_id WHERE i = len(ps) AND {_sql_strip('open')} <> ''),
+w AS (SELECT * FROM c UNION ALL SELECT doc_id, 0, left(text, 4000) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM c))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM w""")
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(terms.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
@@ -824,19 +867,30 @@ def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).where(styles.is_heading(F.col("size") + 1, F.startswith("color", F.lit("s")), F.col("weight"))).select("doc_id")
 
 
-@query(f"""SELECT id, quality FROM (SELECT id, quality, row_number() OVER (PARTITION BY id ORDER BY CASE quality WHEN 'excellent' THEN 0 WHEN 'good' THEN 1 WHEN 'fair' THEN 2 ELSE 3 END, attempt) AS n FROM (
-  SELECT id, quality, 1 AS attempt FROM (SELECT id, CASE WHEN score >= 0.85 THEN 'excellent' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS quality FROM {_QUALITY})
-  UNION ALL SELECT id, CASE WHEN c IS NULL THEN 'poor' WHEN c >= 0.95 THEN 'excellent' WHEN c >= 0.8 THEN 'good' WHEN c >= 0.6 THEN 'fair' ELSE 'poor' END, 2 FROM (SELECT id, CAST(ocr_confidence AS DOUBLE) AS c FROM {_PAGES}))) WHERE n = 1""")
-def ocr_cascade_best(spark: SparkSession, d: str) -> DataFrame:
-    pages = pages_once(spark, d, "original_content", "ocr_confidence")
-    first = pages.where("original_content is not null").select("id", T.quality_label(T.quality_score(F.col("original_content"))).alias("quality"), F.lit(1).alias("attempt"))
-    second = pages.select("id", F.when(F.col("ocr_confidence").isNull(), "poor").otherwise(T.confidence_label(F.col("ocr_confidence"), F.lit(""))).alias("quality"), F.lit(2).alias("attempt"))
-    rank = F.when(F.col("quality") == "excellent", 0).when(F.col("quality") == "good", 1).when(F.col("quality") == "fair", 2).otherwise(3)
-    order = Window.partitionBy("id").orderBy(rank, "attempt")
-    return first.unionByName(second).withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "quality")
+_LABEL = "CASE WHEN score >= 0.85 THEN 'excellent' WHEN score >= 0.7 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END"
 
 
-@query()
+@query(f"""SELECT id, CASE WHEN a IN ('excellent', 'good') THEN 'native' WHEN b = 'poor' AND c <> 'poor' THEN 'fallback' ELSE 'primary' END AS source,
+CASE WHEN a IN ('excellent', 'good') THEN a WHEN b = 'poor' AND c <> 'poor' THEN c ELSE b END AS quality FROM (
+  SELECT p.id, CASE WHEN ocr_model = 'native-text' THEN n.label END AS a, coalesce(CASE WHEN ocr_confidence IS NULL THEN 'poor' WHEN ocr_confidence::DOUBLE >= 0.95 THEN 'excellent' WHEN ocr_confidence::DOUBLE >= 0.8 THEN 'good' WHEN ocr_confidence::DOUBLE >= 0.6 THEN 'fair' END, 'poor') AS b, coalesce(n.label, 'poor') AS c
+  FROM {_PAGES} p LEFT JOIN (SELECT id, {_LABEL} AS label FROM {_QUALITY}) n ON n.id = p.id)""")
+def ocr_cascade_best(spark: SparkSession, d: str) -> DataFrame:
+    """Which of three attempts at a page is taken; the page's text stands for what the second recognition reads."""
+    pages = pages_once(spark, d, "original_content", "ocr_confidence", "ocr_model")
+    label = T.quality_label(T.quality_score(F.col("original_content")))
+    native = F.when(F.col("ocr_model") == "native-text", F.when(F.col("original_content").isNotNull(), label))
+    primary = F.when(F.col("ocr_confidence").isNotNull(), T.confidence_label(F.col("ocr_confidence"), F.lit("")))
+    rows = pages.select("id", native.alias("a"), primary.alias("b"), F.when(F.col("original_content").isNotNull(), label).alias("c"))
+    return rows.select("id", T.recognition_choice(F.col("a"), F.col("b"), F.col("c")).alias("t")).select("id", "t.source", "t.quality")
+
+
+@query(f"""WITH b AS (SELECT document_id, page_number, {_ENDING_SQL} AS ending FROM {_TRANSLATED}), u AS ({_SUMMARY_SQL.replace('md5', '')}),
+src AS (SELECT document_id, page_number, min(original_content) AS source FROM pages WHERE original_content IS NOT NULL GROUP BY document_id, page_number),
+g AS (SELECT document_id, string_agg('  - ' || term || ' → ' || translation_en, chr(10) ORDER BY n) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(approved, false) DESC, frequency DESC NULLS LAST, term) AS n FROM terminology WHERE coalesce(translation_en, '') <> '') WHERE n <= 30 GROUP BY document_id)
+SELECT src.document_id, src.page_number, concat_ws(chr(10), 'Render this Arabic page in English.', 'Leave the markdown as it stands. A technical term that isn''t in the list of terms stays as it is.', chr(10) || '# About the page',
+  'Document: ' || c.file_name, 'Page ' || (src.page_number + 1) || ' of ' || coalesce(c.total_pages, 0), chr(10) || 'What came before:' || chr(10) || u.summary, chr(10) || 'The page before ends with:' || chr(10) || '...' || b.ending,
+  chr(10) || 'Terms and how to render them:' || chr(10) || g.terms, chr(10) || '# Text' || chr(10) || src.source, chr(10) || '# The text in English, and nothing else:') AS prompt
+FROM src JOIN b ON b.document_id = src.document_id AND b.page_number = src.page_number JOIN u ON u.document_id = src.document_id AND u.page_number = src.page_number JOIN doc_catalog c ON c.id = src.document_id LEFT JOIN g ON g.document_id = src.document_id""")
 def build_prompt(spark: SparkSession, d: str) -> DataFrame:
     pages = _translated(spark, d)
     before = context.previous_context(pages)
@@ -924,11 +978,13 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "doc_catalog").select("id", J.value(F.col("styling_metadata"), "$.body_font").alias("font"), J.value(F.col("styling_metadata"), "$.is_rtl", "false").alias("rtl"))
 
 
-@query("SELECT id, 'true' AS approved, stage AS stage FROM (SELECT DISTINCT ON (id) * FROM processing_state)")
+@query("""SELECT id, 'false' AS awaiting, json_extract_string(metadata, '$.mode') AS mode, stage, CASE WHEN metadata IS NULL THEN 2 ELSE len(list_distinct(list_concat(json_keys(metadata), ['awaiting_review', 'stage']))) END AS entries
+FROM (SELECT DISTINCT ON (id) * FROM processing_state)""")
 def json_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Added entries win over stored ones (awaiting_review), the others stay (mode)."""
     rows = read(spark, d, "processing_state").select("id", "metadata", "stage").dropDuplicates(["id"])
-    m = J.merged(F.col("metadata"), F.create_map(F.lit("approved"), F.lit("true"), F.lit("stage"), F.col("stage")))
-    return rows.select("id", m["approved"].alias("approved"), m["stage"].alias("stage"))
+    m = J.merged(F.col("metadata"), F.create_map(F.lit("awaiting_review"), F.lit("false"), F.lit("stage"), F.col("stage")))
+    return rows.select("id", m["awaiting_review"].alias("awaiting"), m["mode"].alias("mode"), m["stage"].alias("stage"), F.size(m).cast("long").alias("entries"))
 
 
 @query("""SELECT id, left(coalesce(json_extract_string(v, '$.content'), json_extract_string(v, '$.text'), json_extract_string(v, '$.summary'), left(v, 1000)), 60) AS text FROM (SELECT id, CASE id % 4 WHEN 0 THEN '{"content": "c' || id || '", "text": "t"}' WHEN 1 THEN '{"text": "t' || id || '"}' WHEN 2 THEN '{"summary": "s"}' ELSE '{"other": 1}' END AS v FROM doc_catalog)""")
@@ -980,10 +1036,10 @@ def suggest_translations(spark: SparkSession, d: str) -> DataFrame:
     return search.suggestions(near, rows, "id", "translation_en", F.col("approved")).select("translation", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS length, round(u[1], 6) AS first FROM (SELECT id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM terminology WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)) > 0)")
+@query("SELECT id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS length, round(u[1], 6) AS first, round(u[-1], 6) AS last, round(list_sum(u), 5) AS total FROM (SELECT id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM terminology WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)) > 0)")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "terminology").where("embedding is not null").select("id", V.unit(F.col("embedding")).alias("u")).where("u is not null")
-    return rows.select("id", F.round(V.dot(F.col("u"), F.col("u")), 6).alias("length"), F.round(F.get("u", 0), 6).alias("first"))
+    return rows.select("id", F.round(V.dot(F.col("u"), F.col("u")), 6).alias("length"), F.round(F.get("u", 0), 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 _BM25 = rf"""(WITH tok AS (SELECT id, list_concat(regexp_extract_all(lower(coalesce(term, '')), '{_WORD}'), regexp_extract_all(lower(coalesce(context, '')), '{_WORD}')) AS ws FROM terminology),
@@ -1007,7 +1063,23 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return both.select(big("id"), F.round("combined_score", 6).alias("combined_score"))
 
 
-@query()
-def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
+_CLUSTERS = f"""(WITH RECURSIVE pr AS ({ORACLE_SQL["pairwise_similarity"]}), m AS (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY id) AS k FROM (SELECT scope, id_a AS id FROM pr UNION SELECT scope, id_b FROM pr)),
+w AS (SELECT m.scope, m.k, m.id, coalesce(n.before, []) AS before FROM m LEFT JOIN (SELECT scope, id_b AS id, list(id_a) AS before FROM pr GROUP BY scope, id_b) n ON n.scope = m.scope AND n.id = m.id),
+s(scope, k, id, seed, seeds) AS (SELECT scope, k, id, id, [id] FROM w WHERE k = 1 UNION ALL
+  SELECT scope, k, id, coalesce(taken, id), CASE WHEN taken IS NULL THEN list_append(seeds, id) ELSE seeds END FROM (SELECT w.scope, w.k, w.id, s.seeds, list_min(list_filter(w.before, lambda y: list_contains(s.seeds, y))) AS taken FROM s JOIN w ON w.scope = s.scope AND w.k = s.k + 1))
+SELECT t.document_id AS scope, CAST(t.id AS BIGINT) AS id, coalesce(s.seed, CAST(t.id AS BIGINT)) AS seed FROM (SELECT DISTINCT document_id, id FROM terminology WHERE len(embedding) = 64) t LEFT JOIN s ON s.scope = t.document_id AND s.id = t.id)"""
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "terminology").where(F.size("embedding") == 64)
     return clusters.greedy_clusters(rows, "id", "document_id", "embedding", 0.8)
+
+
+@query(f"SELECT * FROM {_CLUSTERS}")
+def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d)
+
+
+@query(f"SELECT scope, seed, size, CAST(row_number() OVER (PARTITION BY scope ORDER BY size DESC, seed) AS INTEGER) AS rank FROM (SELECT scope, seed, count(*) AS size FROM {_CLUSTERS} GROUP BY scope, seed) WHERE size > 1")
+def clusters_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.by_size(_clusters(spark, d))

@@ -22,9 +22,9 @@ def repeats():
         name = "repeats"
 
         def answer(self, prompts):
-            if any("fails" in p.split("## Source Text")[-1] for p in prompts):
+            if any("fails" in p.split("# Text\n")[-1] for p in prompts):
                 raise OSError("down")
-            return [f"<{p.split('## Source Text')[-1].split()[0]}>|{p}" for p in prompts]
+            return [f"<{p.split('# Text\n')[-1].split()[0]}>|{p}" for p in prompts]
 
     return Repeats
 
@@ -36,10 +36,10 @@ def test_prompts_have_the_translations_just_made(spark, tmp_path):
     store.replace("pages", table(spark, "pages", [{"id": i, "document_id": d, "page_number": n, "original_content": t, "en_content": e} for i, (d, n, t, e) in reversed(list(enumerate(texts)))]))
     pipeline.Pipeline(spark, store, pipeline.Settings(), repeats()).translate()
     got = {r["id"]: r["en_content"] for r in store.read("pages").collect()}
-    assert "Previous" not in got[0]
-    assert "summary:\n[Page 1]: <one>|" in got[1] and f"ending:\n...{got[0][-200:]}\n" in got[1]
-    assert "summary:\n[Page 2]: <two>|" in got[2] and "[Page 1]: <one>|" in got[2] and f"ending:\n...{got[1][-200:]}\n" in got[2]
-    assert got[3] == "kept" and "[Page 1]: kept\n" in got[4] and "ending:\n...kept\n" in got[4]
+    assert "came before" not in got[0]
+    assert "before:\n[Page 1]: <one>|" in got[1] and f"ends with:\n...{got[0][-200:]}\n" in got[1]
+    assert "before:\n[Page 2]: <two>|" in got[2] and "[Page 1]: <one>|" in got[2] and f"ends with:\n...{got[1][-200:]}\n" in got[2]
+    assert got[3] == "kept" and "[Page 1]: kept\n" in got[4] and "ends with:\n...kept\n" in got[4]
     assert got[5] is None and "[Page 2]: <five>|" in got[6] and "[Page 1]: kept" in got[6]
 
 
@@ -70,7 +70,7 @@ def test_glossary_and_translated_terms_reach_the_prompts(spark, tmp_path):
             import json
             import re
 
-            return ["```json\n" + json.dumps({t: t.upper() for t in re.findall('- Term: "(.*)"', p)}) + "\n```" if p.startswith("Translate these terms") else p for p in prompts]
+            return ["```json\n" + json.dumps({t: t.upper() for t in re.findall('- Term: "(.*)"', p)}) + "\n```" if p.startswith("Give the ") else p for p in prompts]
 
     source = tmp_path / "in"
     source.mkdir()
@@ -91,5 +91,5 @@ def test_glossary_and_translated_terms_reach_the_prompts(spark, tmp_path):
     assert len(of_b) > 50 and all(r["translation_en"] == r["term"].upper() for r in of_b)
     prompt = {name[r["document_id"]]: r["en_content"] for r in store.read("pages").collect()}
     assert "  - mot0 → the meaning of 0\n" in prompt["a.md"] and "  - tide → TIDE\n" in prompt["a.md"]
-    assert prompt["b.txt"].count(" → ") == 30 and "glossary (use" not in prompt["c.txt"]
+    assert prompt["b.txt"].count(" → ") == 30 and "how to render" not in prompt["c.txt"]
     assert len(rows) == len({r["id"] for r in rows})

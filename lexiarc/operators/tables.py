@@ -89,8 +89,8 @@ def padded(row: Column, width: Column) -> Column:
 
 
 def as_markdown(headers: Column, rows: Column, reverse: bool = False) -> Column:
-    """A markdown table; NULL headers give NULL."""
+    """A markdown table; a pipe in a cell is escaped, NULL headers give NULL."""
     turn = F.reverse if reverse else (lambda x: x)
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(turn(cells), " | "), F.lit(" |"))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(turn(F.transform(cells, lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(headers, lambda _: F.lit("---")), " | "), F.lit(" |"))
     return F.when(headers.isNotNull(), F.array_join(F.concat(F.array(line(headers), rule), F.transform(rows, line)), "\n"))

@@ -106,28 +106,30 @@ def answers(df: DataFrame, key: str, prompt: str, make: Callable[[], TextModel],
     return df.select(F.col(key).cast("string").alias("key"), prompt).mapInArrow(run, "key string, reply string, model string, error string")
 
 
-def answers_in_order(df: DataFrame, make: Callable[[], TextModel], wait: float = 1.0) -> DataFrame:
+def answers_in_order(df: DataFrame, make: Callable[[], TextModel], fallback: Callable[[], TextModel] | None = None, wait: float = 1.0) -> DataFrame:
     """``id``, ``reply``, ``error`` of the open pages; each prompt has the translations before it, new ones too.
 
     ``df`` has ``document_id``, ``page_number``, ``id``, ``head`` and ``tail`` of
     the prompt, ``translation`` and ``open``.  Documents are spread over the tasks,
-    the pages of one are answered one after the other; a page that fails has an
-    error, and the next ones go on without it.  Write the result before using it
+    the pages of one are answered one after the other; a page that fails, on the fallback
+    too if there is one, has an error, and the next ones go on without it.  Write the result before using it
     twice: replies aren't repeatable.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, document, before = make(), None, []
+        models, document, before = [m() for m in (make, fallback) if m], None, []
         for b in batches:
             out: list[tuple] = []
             for d, n, key, head, tail, text, is_open in zip(*(c.to_pylist() for c in b.columns)):
                 if d != document:
                     document, before = d, []
                 if is_open:
-                    try:
-                        text, error = with_retry(model.answer, [joined_prompt(head, *context_of(before), tail)], wait=wait)[0], None
-                    except Exception as failed:  # noqa: BLE001
-                        text, error = None, str(failed)
+                    for model in models:
+                        try:
+                            text, error = with_retry(model.answer, [joined_prompt(head, *context_of(before), tail)], wait=wait)[0], None
+                            break
+                        except Exception as failed:  # noqa: BLE001
+                            text, error = None, str(failed)
                     out.append((key, text, error))
                 if text:
                     before = [(n, text.strip()), *before[:1]]

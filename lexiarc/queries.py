@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import json as J
 from .functions import text as T
 from .functions import vectors as V
-from .operators import clusters, context, glossary, memory, search, state, styles, tables, terms, upserts
+from .operators import clusters, context, glossary, memory, search, state, styles, tables, terms, tools, upserts
 from .store import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -905,10 +905,10 @@ def build_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ================================ tables and markdown ================================
-_HTML = [(1, "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>"), (2, "<TABLE><tr><th>x</th></tr><tr><td><b>y</b></td></tr></TABLE>"), (3, "<table><tr><td>p</td><td>q</td></tr><tr><td>r</td></tr></table>"), (4, "no table")]
+_HTML = [(1, "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>"), (2, "<TABLE><tr><th>x</th></tr><tr><td><b>y</b></td></tr></TABLE>"), (3, "<table><tr><td>p</td><td>q</td></tr><tr><td>r</td></tr></table>"), (4, "no table"), (5, "<table><tr><th>a|b</th></tr><tr><td>c</td></tr></table>")]
 
 
-@query("SELECT * FROM (VALUES (1, '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |'), (2, '| x |' || chr(10) || '| --- |' || chr(10) || '| y |'), (3, '| p | q |' || chr(10) || '| --- | --- |' || chr(10) || '| r |  |'), (4, NULL)) v(id, markdown)")
+@query("SELECT * FROM (VALUES (1, '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |'), (2, '| x |' || chr(10) || '| --- |' || chr(10) || '| y |'), (3, '| p | q |' || chr(10) || '| --- | --- |' || chr(10) || '| r |  |'), (4, NULL), (5, '| a\\|b |' || chr(10) || '| --- |' || chr(10) || '| c |')) v(id, markdown)")
 def table_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(_HTML, "id int, html string").select("id", tables.table_rows(F.col("html")).alias("t"))
     return rows.select("id", tables.as_markdown(F.col("t.headers"), F.col("t.rows")).alias("markdown"))
@@ -1083,3 +1083,20 @@ def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT scope, seed, size, CAST(row_number() OVER (PARTITION BY scope ORDER BY size DESC, seed) AS INTEGER) AS rank FROM (SELECT scope, seed, count(*) AS size FROM {_CLUSTERS} GROUP BY scope, seed) WHERE size > 1")
 def clusters_by_size(spark: SparkSession, d: str) -> DataFrame:
     return clusters.by_size(_clusters(spark, d))
+
+
+_TABLE_NAMES = ["doc_catalog", "pages", "processing_log", "processing_state", "terminology"]
+
+
+@query(f"SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS position FROM information_schema.columns WHERE table_name IN ({', '.join(repr(n) for n in _TABLE_NAMES)})")
+def table_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the tables, from their schemas."""
+    rows = [(name, column, i) for name in _TABLE_NAMES for i, column in enumerate(read(spark, d, name).columns, start=1)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int")
+
+
+@query(f"""SELECT CAST(id AS BIGINT) AS id, term, translation_en AS translation FROM terminology t JOIN (SELECT id AS i, round(score, 9) AS score FROM {_BM25} ORDER BY 2 DESC, id LIMIT 10) f ON f.i = t.id""")
+def search_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The search by words as a tool gives it."""
+    found = tools.SearchTools(read(spark, d, "terminology")).search_terms("tide audit المد", "words", 10)
+    return found.select(big("id"), "term", "translation")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -112,18 +113,65 @@ def docx_pages(files: DataFrame) -> DataFrame:
                     out.append((path, 0, docx_markdown(raw), 1.0, "docx", None))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError) as broken:
                     out.append((path, 0, "", 0.0, "docx", str(broken)))
-            names = [x.split()[0] for x in PAGES.split(", ")]
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+            yield _page_batch(out)
 
     return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("full_path"), "content").mapInArrow(pages, PAGES)
 
 
-def read_pages(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Pages of all text and word-processor files below a folder."""
+class PageReader(Protocol):
+    """Reads files of one kind, for instance by a library for PDF or a remote recognition; made once per task."""
+
+    name: str
+
+    def pages(self, path: str, raw: bytes) -> list[tuple[str, float | None]]:
+        """Text and confidence of each page, in order; raises what it can't read."""
+        ...
+
+
+def pages_by(files: DataFrame, make: Callable[[], PageReader]) -> DataFrame:
+    """Pages of files given as (path, content) by a reader; a file it can't read has an error instead."""
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = make()
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    out = [(path, i, text, confidence, reader.name, None) for i, (text, confidence) in enumerate(reader.pages(path, raw))]
+                except Exception as broken:  # noqa: BLE001 - whatever a library raises
+                    out = [(path, 0, "", 0.0, reader.name, f"{type(broken).__name__}: {broken}")]
+                yield _page_batch(out)
+
+    return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("full_path"), "content").mapInArrow(pages, PAGES)
+
+
+def _page_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in PAGES.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def read_pages(spark: SparkSession, folder: str, recursive: bool = True, readers: dict[str, Callable[[], PageReader]] | None = None) -> DataFrame:
+    """Pages of all supported files below a folder.
+
+    Text and word-processor files are read here; ``readers`` has readers of other kinds
+    (``pdf``, ``doc``), or for these two in their place.  A file of a kind without a reader has
+    an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "content")
+    return pages_of(files, readers)
+
+
+def pages_of(files: DataFrame, readers: dict[str, Callable[[], PageReader]] | None = None) -> DataFrame:
+    """``read_pages`` of files given as (path, content)."""
+    readers = readers or {}
     kind = T.lookup(T.suffix(F.col("path")), T.FILE_KINDS)
-    return text_pages(files.where(kind.isin("markdown", "text"))).unionByName(docx_pages(files.where(kind == "docx")))
+    own = lambda *kinds: files.where(kind.isin([k for k in kinds if k not in readers]))
+    out = text_pages(own("markdown", "text")).unionByName(docx_pages(own("docx")))
+    for name, make in readers.items():
+        out = out.unionByName(pages_by(files.where(kind == name), make))
+    rest = files.where(kind.isNotNull() & ~kind.isin("markdown", "text", "docx", *readers))
+    nothing = rest.select(F.regexp_replace("path", r"^file:/*", "/").alias("full_path"), F.lit(0).alias("page_number"), F.lit("").alias("content"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("ocr_model"), F.concat(F.lit("no reader for "), kind).alias("error"))
+    return out.unionByName(nothing)
 
 
 def review_csv(spark: SparkSession, path: str, target: str = "en") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import os
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, Row
@@ -23,8 +24,10 @@ def markdown_body(pages: DataFrame, document: str, name: str, number: str, conte
     return rows.select(document, name, F.concat(head, F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("body"))
 
 
-def file_names(name: Column, lang: str, suffix: str) -> Column:
-    return F.concat(T.safe_filename(T.stem(name)), F.lit(f"_{lang}{suffix}"))
+def file_names(name: Column, lang: str, suffix: str, number: Column | None = None) -> Column:
+    """The name of a document's file; ``number`` tells documents of one name apart."""
+    told = F.lit("") if number is None else F.coalesce(F.concat(F.lit("_"), number), F.lit(""))
+    return F.concat(T.safe_filename(T.stem(name)), told, F.lit(f"_{lang}{suffix}"))
 
 
 # ---- word-processor files --------------------------------------------------------------------
@@ -97,22 +100,30 @@ def docx_bytes(markdown: str, rtl: bool = False) -> bytes:
     return out.getvalue()
 
 
-def write_files(bodies: DataFrame, file_name: str, body: str, folder: str, kind: str = "md", rtl: bool = False) -> None:
-    """One file per row in a folder that all executors share.
+#: How a document's markdown becomes the bytes of a file of a kind.
+WRITERS: dict[str, Callable[[str, bool], bytes]] = {"md": lambda body, rtl: body.encode("utf-8"), "docx": lambda body, rtl: docx_bytes(body, rtl)}
+
+
+def write_files(bodies: DataFrame, file_name: str, body: str, folder: str, kind: str = "md", rtl: bool = False, writer: Callable[[str, bool], bytes] | None = None) -> None:
+    """One file per row in a folder that all executors share: a path or the address of a file system.
 
     A file is written beside its place and then moved there, so a repeated task
-    leaves a whole file.
+    leaves a whole file.  A kind without a writer is an error.
     """
+    make = writer or WRITERS.get(kind)
+    if make is None:
+        raise ValueError(f"no writer for files of the kind {kind}")
 
     def write(rows: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        system.create_dir(base)
         for row in rows:
-            place = os.path.join(folder, row[0])
-            draft = f"{place}.{os.getpid()}.part"
-            data = docx_bytes(row[1], rtl) if kind == "docx" else row[1].encode("utf-8")
-            with open(draft, "wb") as f:
-                f.write(data)
-            os.replace(draft, place)
+            draft = f"{base}/.{row[0]}.{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as out:
+                out.write(make(row[1], rtl))
+            system.move(draft, f"{base}/{row[0]}")
 
     bodies.select(file_name, body).foreachPartition(write)
 

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder of the session and read back; a temporary folder only where it is unset."""
+    """Write to the shared checkpoint folder of the session and read back.
+
+    A temporary folder is used only where none is set and all runs on this machine.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiarc-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiarc-"))
     return df.checkpoint(eager=True)
 
 
@@ -69,17 +73,28 @@ class Store:
         """Make ``df`` the current version."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{table}/{version}")
-        fs, path = self._hadoop(self._pointer(table))
-        _, draft = self._hadoop(f"{self.folder}/{table}/.{version}.json")
+        fs, draft = self._hadoop(f"{self.folder}/{table}/.{version}.json")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": version}), "utf-8"))
         out.close()
-        if urlparse(self.folder).scheme in ("", "file"):
-            local = urlparse(self.folder).path or self.folder
-            os.replace(f"{local}/{table}/.{version}.json", f"{local}/{table}/current.json")
-        else:
-            fs.delete(path, False)
-            fs.rename(draft, path)
+        # one move over the old pointer: readers see the old version or the new one
+        gateway, hadoop = self.spark.sparkContext._gateway, self.spark._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        _, path = self._hadoop(self._pointer(table))
+        hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, how)
+
+    def vacuum(self, table: str) -> int:
+        """Remove all versions but the current one, and say how many; nobody may read an older one any more."""
+        current, removed = self.version(table), 0
+        fs, folder = self._hadoop(f"{self.folder}/{table}")
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name != current:
+                fs.delete(status.getPath(), True)
+                removed += 1
+        return removed
 
     def append(self, table: str, df: DataFrame) -> None:
         """Add rows to the current version, or begin one."""

@@ -8,14 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upserts import last_write
 from ..schemas import TABLES
-from ..sources.files import text_pages
+from ..sources.files import pages_of
 from ..store import Store
 
 
 def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
-    """Text files as they arrive, one page each."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.{txt,md,markdown}").load(folder)
-    return text_pages(files)
+    """Text and word-processor files as they arrive, one page each; their suffix may be in either case."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN],[dD][oO][cC][xX]}").load(folder)
+    return pages_of(files)
 
 
 def table_stream(spark: SparkSession, name: str, folder: str, per_trigger: int = 100) -> DataFrame:

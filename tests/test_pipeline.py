@@ -93,3 +93,76 @@ def test_glossary_and_translated_terms_reach_the_prompts(spark, tmp_path):
     assert "  - mot0 → the meaning of 0\n" in prompt["a.md"] and "  - tide → TIDE\n" in prompt["a.md"]
     assert prompt["b.txt"].count(" → ") == 30 and "how to render" not in prompt["c.txt"]
     assert len(rows) == len({r["id"] for r in rows})
+
+
+def test_failures_are_told(spark, tmp_path):
+    source = tmp_path / "in"
+    (source / "sub").mkdir(parents=True)
+    (source / "a.txt").write_text("fails", encoding="utf-8")
+    (source / "b.docx").write_bytes(b"broken")
+    (source / "c.pdf").write_bytes(b"%PDF")
+    (source / "d.TXT").write_text("fine", encoding="utf-8")
+    (source / "sub" / "d.md").write_text("also fine", encoding="utf-8")
+    store = Store(spark, str(tmp_path / "store"))
+    settings = pipeline.Settings(input_dir=str(source), output_dir=str(tmp_path / "out"))
+    pipeline.Pipeline(spark, store, settings, repeats()).run()
+    catalog = {r["relative_path"]: (r["status"], r["total_pages"], r["id"]) for r in store.read("doc_catalog").collect()}
+    assert {k: v[:2] for k, v in catalog.items()} == {"a.txt": ("failed", 1), "b.docx": ("failed", 0), "c.pdf": ("failed", 0), "d.TXT": ("completed", 1), "sub/d.md": ("completed", 1)}
+    log = store.read("processing_log").collect()
+    assert {(r["document_id"], r["stage"]) for r in log if r["level"] == "ERROR"} == {(catalog["a.txt"][2], "page_translate"), (catalog["b.docx"][2], "ocr"), (catalog["c.pdf"][2], "ocr")}
+    assert any("no reader for pdf" in r["message"] for r in log) and any("down" in r["message"] for r in log)
+    assert len(log) == len({r["id"] for r in log})
+    states = {(r["document_id"], r["stage"]): r["status"] for r in store.read("processing_state").collect()}
+    assert states[catalog["a.txt"][2], "page_translate"] == "failed" and states[catalog["d.TXT"][2], "export"] == "completed"
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {f"d_{catalog[n][2]}_en.md" for n in ("d.TXT", "sub/d.md")}
+    assert store.vacuum("pages") > 0 and store.read("pages").count() == 3
+
+
+def test_a_reader_of_another_kind(spark, tmp_path):
+    class Lines:
+        name = "lines"
+
+        def pages(self, path, raw):
+            if raw == b"?":
+                raise ValueError("odd")
+            return [(line, 0.9) for line in raw.decode().split("|")]
+
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "b.pdf").write_bytes(b"?")
+    from lexiarc.sources import files
+
+    got = {(r["full_path"].rpartition("/")[2], r["page_number"]): (r["content"], r["ocr_model"], r["error"]) for r in files.read_pages(spark, str(tmp_path), readers={"pdf": Lines}).collect()}
+    assert got == {("a.pdf", 0): ("one", "lines", None), ("a.pdf", 1): ("two", "lines", None), ("b.pdf", 0): ("", "lines", "ValueError: odd")}
+
+
+def test_review_by_the_command_line(spark, tmp_path, monkeypatch):
+    from lexiarc import cli
+
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    store = Store(spark, str(tmp_path / "store"))
+    cli.main(["init", "--store", store.folder])
+    assert {t for t in TABLES if store.version(t)} == set(TABLES)
+    store.replace("terminology", table(spark, "terminology", [{"id": 1, "document_id": 1, "term": "marée", "translation_en": "sea", "approved": False}]))
+    cli.main(["terms", "--store", store.folder, "--file", str(tmp_path / "list")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "list")).count() == 1
+    (tmp_path / "in.csv").write_text("term_id,corrected_translation_en\n1,tide\n", encoding="utf-8")
+    cli.main(["approve", "--store", store.folder, "--file", str(tmp_path / "in.csv")])
+    row = store.read("terminology").first()
+    assert (row["translation_en"], row["approved"]) == ("tide", True)
+    for command in ("stats", "status", "logs"):
+        cli.main([command, "--store", store.folder])
+
+
+def test_search_tools(spark):
+    from lexiarc.operators.tools import TOOLS, SearchTools
+
+    rows = spark.createDataFrame([(1, 7, "tide", "marée", 3, None, [1.0, 0.0], True), (2, 7, "audit", "contrôle", None, "tide audit", [0.8, 0.6], None), (3, 8, "tide", None, 1, "", None, False)], "id int, document_id int, term string, translation_en string, frequency int, context string, embedding array<float>, approved boolean")
+    tools = SearchTools(rows, embed=lambda q: [1.0, 0.0])
+    assert [r["id"] for r in tools.call("search_terms", {"query": "tide", "mode": "meaning"})] == [1, 2]
+    assert {r["id"] for r in tools.call("search_terms", {"query": "tide", "mode": "words"})} == {1, 2, 3}
+    assert {r["id"] for r in tools.call("search_terms", {"query": "tide"})} == {1, 2, 3}
+    assert tools.call("lookup_term", {"query": "tide"})[0]["translation"] == "marée" and tools.call("lookup_term", {"query": "Tide"}) == []
+    assert [r["translation"] for r in tools.call("suggest_translations", {"query": "tide"})] == ["marée"]
+    assert "error" in tools.call("nothing", {}) and "error" in tools.call("lookup_term", {"wrong": 1}) and "error" in tools.call("search_terms", {"query": "x", "mode": "y"})
+    assert [t["name"] for t in TOOLS] == ["search_terms", "lookup_term", "suggest_translations"]
+    assert SearchTools(rows.limit(0)).search_terms("tide").count() == 0

@@ -15,13 +15,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``.  A temporary folder is
+    used only where that is unset and all runs on this machine, as in tests.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiarc-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiarc-"))
     return df.checkpoint(eager=True)
 
 

@@ -5,11 +5,13 @@ seen last.  Rows reach a counter ordered by value and record, so a record is
 new exactly when it differs from the one seen last: no counter ever keeps a set
 of records.
 
-Data flow: rows are first combined per (value, record) on the map side, so that
-a value or a pair holding a third of all rows shrinks before it is shuffled.
-The pairs are hashed on *both* columns, which spreads one hot value over all
-tasks; each task sorts its pairs and runs the counters over the stream.  The
-tasks' counters are added up per value.  Pairs of one value in different tasks
+Data flow: before the shuffle each batch of rows is combined by value and record,
+so that a value or a pair holding a third of all rows arrives as a row for each batch at
+most.  Rows are then hashed by value and by a bucket of their record, which spreads a
+hot value over ``BUCKETS`` tasks and keeps the rows of a record together.  Each
+task sorts its rows and runs the counters over the stream, where a record that
+comes again, from another batch or another task, is seen and not counted anew.  The
+tasks' counters are added up per value; those of one value in different tasks
 are of different records, so the sum is exact.
 """
 
@@ -24,10 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PARTIAL = "value string, occurrences long, rows long, records long"
+_ROWS = "value string, record string, occurrences long, rows long"
+
+#: Among how many tasks a value's records are spread.
+BUCKETS = 64
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch, combined by value and record."""
+    for batch in batches:
+        sums = pa.Table.from_batches([batch]).group_by(["value", "record"]).aggregate([("w", "sum"), ("w", "count")])
+        yield from sums.select(["value", "record", "w_sum", "w_count"]).rename_columns(["value", "record", "occurrences", "rows"]).to_batches()
 
 
 def _last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters over pairs sorted by (value, record); one is open at a time."""
+    """Counters over rows sorted by value and record; one is open at a time."""
     names = ["value", "occurrences", "rows", "records"]
     open_value, open_record, counter = None, None, np.zeros(3, "int64")
 
@@ -73,15 +86,11 @@ def value_counts(df: DataFrame, value: str | Column, record: str | Column, weigh
     value = F.col(value) if isinstance(value, str) else value
     record = F.col(record) if isinstance(record, str) else record
     weight = F.lit(1) if weight is None else weight
-    pairs = (
-        df.select(value.cast("string").alias("value"), record.cast("string").alias("record"), F.coalesce(weight.cast("long"), F.lit(1)).alias("w"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value", "record")
-        .agg(F.sum("w").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
-        .sortWithinPartitions("value", "record")
-    )
+    rows = df.select(value.cast("string").alias("value"), record.cast("string").alias("record"), F.coalesce(weight.cast("long"), F.lit(1)).alias("w")).where(F.col("value").isNotNull())
+    bucket = F.pmod(F.xxhash64("record"), F.lit(BUCKETS))
+    sorted_rows = rows.mapInArrow(_combined, _ROWS).repartition("value", bucket).sortWithinPartitions("value", "record")
     return (
-        pairs.mapInArrow(_last_seen, _PARTIAL)
+        sorted_rows.mapInArrow(_last_seen, _PARTIAL)
         .groupBy("value")
         .agg(*(F.sum(c).alias(c) for c in ("occurrences", "rows", "records")))
     )

@@ -3,9 +3,9 @@
 A record is reduced to the letters, marks and digits of its fields in lower
 case; the fields are ordered, so exchanged fields meet.  The canonical form is
 hashed to 128 bits and copies are counted per hash with map-side combining, so
-a group of any size reaches a reducer as a few partial rows.  Each group also
-carries the least and the greatest canonical form; where they differ, two forms
-share a hash and the group is split by the forms themselves.
+a group of any size reaches a reducer as a few partial rows of fixed size.  Each
+group also carries the least and the greatest value of a further hash; where they
+differ, two forms share the 128 bits and the group is split by the forms themselves.
 """
 
 from __future__ import annotations
@@ -42,25 +42,28 @@ def keyed(df: DataFrame, scope: list[str], fields: list[str]) -> DataFrame:
 
 
 def collapse(df: DataFrame, record: str, scope: list[str], fields: list[str]) -> DataFrame:
-    """One record per group of format copies, with its number of copies.
+    """One record per group of format copies, with its number of copies: ``scope``, ``record``, ``copies``.
 
     ``scope`` are columns that must be equal as stored (NULL equals NULL),
     ``fields`` those compared by canonical form, in any order.  The record kept
-    is that of the least id; ``copies`` counts all rows.  A NULL field equals
-    only a NULL field; a field of signs only equals an empty one.
+    is that of the least id, a number; ``copies`` counts all rows.  A NULL field equals
+    only a NULL field; a field of signs only equals an empty one.  ``kept_rows`` gives the records whole.
     """
-    rows = keyed(df.select(*dict.fromkeys([record, *scope, *fields])), scope, fields)
-    kept = F.struct(F.col(record), *(F.col(c) for c in fields if c != record))
-    by_hash = rows.groupBy(*scope, "__h1", "__h2").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(kept).alias("kept"), F.min("__form").alias("low"), F.max("__form").alias("high")
-    )
-    sound = by_hash.where("low = high").select(*scope, "kept.*", "copies")
+    rows = keyed(df.select(*dict.fromkeys([record, *scope, *fields])), scope, fields).withColumn("__check", F.xxhash64(F.lit(0xC0DE), "__form"))
+    counted = [F.min(record).alias("__kept"), F.count(F.lit(1)).alias("copies")]
+    by_hash = rows.groupBy(*scope, "__h1", "__h2").agg(*counted, F.min("__check").alias("low"), F.max("__check").alias("high"))
+    out = [*scope, F.col("__kept").alias(record), "copies"]
     broken = by_hash.where("low <> high").select(*(F.col(c).alias(f"__s_{c}") for c in scope), F.col("__h1").alias("__b1"), F.col("__h2").alias("__b2"))
     same = (F.col("__h1") == F.col("__b1")) & (F.col("__h2") == F.col("__b2"))
     for c in scope:
         same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-    split = rows.join(broken, same, "left_semi").groupBy(*scope, "__form").agg(F.count(F.lit(1)).alias("copies"), F.min(kept).alias("kept"))
-    return sound.unionByName(split.select(*scope, "kept.*", "copies"))
+    split = rows.join(broken, same, "left_semi").groupBy(*scope, "__form").agg(*counted)
+    return by_hash.where("low = high").select(*out).unionByName(split.select(*out))
+
+
+def kept_rows(df: DataFrame, collapsed: DataFrame, record: str) -> DataFrame:
+    """The rows of ``df`` that ``collapse`` kept, once each, with their ``copies``."""
+    return df.dropDuplicates([record]).drop("copies").join(collapsed.select(record, "copies"), record)
 
 
 def copy_pairs(df: DataFrame, record: str, scope: list[str], fields: list[str]) -> DataFrame:

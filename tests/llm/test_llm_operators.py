@@ -37,6 +37,16 @@ def test_counters_cross_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_counters_see_records_again(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = [(v, r) for r in (1, 2, 1, None, 2, 1) for v in ("a", "b")] * 9
+        got = term_counts.value_counts(spark.createDataFrame(rows, "v string, r int").repartition(5), "v", "r")
+        assert {r["value"]: (r["rows"], r["records"]) for r in got.collect()} == {v: (54, 2) for v in "ab"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("often", 9, 9, 9), ("seldom", 2, 2, 2), ("between", 4, 4, 4)], "value string, occurrences long, rows long, records long")
     got = {r["value"]: r["mark"] for r in term_counts.mark_values(df, F.lit(100)).collect()}
@@ -54,6 +64,8 @@ def test_format_copies(spark):
     assert pairs == {(1, 2), (1, 3), (2, 3), (4, 5), (9, 10)}
     groups = {r["id"]: r["copies"] for r in format_duplicates.collapse(df, "id", ["doc"], ["term", "tr"]).collect()}
     assert groups == {1: 4, 4: 2, 6: 1, 7: 1, 8: 1, 9: 2, 11: 1}
+    whole = format_duplicates.kept_rows(df, format_duplicates.collapse(df, "id", ["doc"], ["term", "tr"]), "id")
+    assert {(r["id"], r["term"], r["copies"]) for r in whole.collect()} >= {(1, "Tide-Audit", 4), (11, None, 1)} and whole.count() == 7
     assert format_duplicates.collapse(df.limit(0), "id", ["doc"], ["term", "tr"]).count() == 0
 
 

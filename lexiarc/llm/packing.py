@@ -3,15 +3,14 @@
 Lengths are tokens, so all items are known by a histogram with at most
 ``capacity`` bars.  The histogram is packed, not the items:
 
-1. Bars are bundled to a bounded number of length classes; a class counts as its
-   longest length, so what fits as classes fits as items.
-2. Shallow combinations of up to ``depth`` classes whose sum fills a window below
-   the capacity are enumerated.
-3. Non-negative least squares finds how often each combination is to be used so
+1. Combinations of lengths that fill a window below the capacity are enumerated:
+   every length leads some, its partners follow the histogram at steps of the
+   golden ratio, and the last one or two are those that fill the window.
+2. Non-negative least squares finds how often each combination is to be used so
    that all together use the histogram up.
-4. The repeat counts are rounded down as far as the bars reach; what is left tops
-   up the room of these containers, best fit first, and then fills containers of
-   its own greedily, longest first.
+3. The repeat counts are rounded, as far as the bars reach.  Where bars are low, so that
+   most counts are near 0, the rest of the histogram is solved again, up to ``ROUNDS`` times.
+4. What is left then, with the ``SHORTEST`` share of the items, which is kept for it, is packed greedily.
 
 The plan is a list of (pattern, repeats), bounded by the number of classes and
 combinations and not by the number of items.  Items then find their container by
@@ -24,8 +23,6 @@ which is an item like the others.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,167 +30,123 @@ from pyspark.sql.window import Window
 
 from .common import cut_lineage
 
-#: Bounds of the plan: length classes, combinations' depth and number, least fill of a combination.
-CLASSES, DEPTH, COMBINATIONS, WINDOW = 512, 4, 3000, 0.998
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 with least |a x - b|, by coordinate descent on the normal equations."""
-    gram, target = a.T @ a, a.T @ b
-    x = np.zeros(a.shape[1])
-    slope = -target.copy()
-    diagonal = np.maximum(np.diag(gram), 1e-12)
-    for _ in range(rounds):
-        moved = 0.0
-        # the columns that promise most, then all with a positive value
-        active = np.union1d(np.argsort(np.where(x > 0, -np.abs(slope), slope))[:400], np.flatnonzero(x > 0)[:2000])
-        for j in active:
-            new = max(0.0, x[j] - slope[j] / diagonal[j])
-            if new != x[j]:
-                slope += gram[:, j] * (new - x[j])
-                moved = max(moved, abs(new - x[j]))
-                x[j] = new
-        if moved < 0.25:
+#: Combinations of a round, rounds, least fill of a combination, share of the items that is kept for the end.
+COMBINATIONS, ROUNDS, WINDOW, SHORTEST = 2500, 5, 0.998, 0.04
+
+#: Up to how many rows a plan is broadcast.
+SMALL = 500_000
+
+_GOLDEN = (5**0.5 - 1) / 2
+
+
+def nnls(row: np.ndarray, column: np.ndarray, value: np.ndarray, b: np.ndarray, width: int, steps: int = 400) -> np.ndarray:
+    """x >= 0 with least |a x - b| for the sparse matrix of (row, column, value): accelerated projected gradient, columns scaled."""
+    scale = 1 / np.sqrt(np.maximum(np.bincount(column, value**2, width), 1e-12))
+    value = value * scale[column]
+    times = lambda x: np.bincount(row, value * x[column], len(b))
+    back = lambda r: np.bincount(column, value * r[row], width)
+    # the largest eigenvalue of a'a is at most the largest sum of a row of a times that of a column
+    step = 1 / max(1e-12, np.bincount(row, value, len(b)).max(initial=0) * np.bincount(column, value, width).max(initial=0))
+    x = y = np.zeros(width)
+    t = 1.0
+    for _ in range(steps):
+        new = np.maximum(0.0, y - step * back(times(y) - b))
+        if (y - new) @ (new - x) > 0:  # the momentum points away: begin anew
+            t = 1.0
+        ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        y = new + (t - 1) / ahead * (new - x)
+        moved = np.abs(new - x).max(initial=0)
+        x, t = new, ahead
+        if moved < 1e-4 * max(1.0, x.max(initial=0)):
             break
-    return x
+    return x * scale
 
 
-def combinations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Multisets of class indices, as count vectors, that fill the window below the capacity.
-
-    Every class leads combinations: its partners are drawn with a preference for
-    frequent classes, and the last one is the class that fills the rest best.
-    """
+def combinations(lengths: np.ndarray, counts: np.ndarray, capacity: int, turn: int = 0) -> list[dict[int, int]]:
+    """Lengths and how many of each, with a sum in the window below the capacity."""
+    share = np.cumsum(counts) / counts.sum()
+    has = np.zeros(capacity + 1, bool)
+    has[lengths] = True
+    below = np.maximum.accumulate(np.where(has, np.arange(capacity + 1), 0))
+    near = 2 * int((lengths * counts).sum() / counts.sum())
     out: dict[tuple[int, ...], None] = {}
-    order = np.argsort(sizes)
-    ordered = sizes[order]
-    weight = counts / counts.sum()
-    tries = max(8, COMBINATIONS * 2 // max(1, len(sizes)))
-    for lead in range(len(sizes)):
-        for _ in range(tries):
-            chosen, room = [lead], capacity - sizes[lead]
-            for _ in range(DEPTH - 1):
-                k = int(np.searchsorted(ordered, room, side="right")) - 1
-                if k < 0:
+    for v in range(-(-COMBINATIONS // len(lengths))):
+        for i, lead in enumerate(lengths[::-1].tolist()):
+            parts, room = [lead], capacity - lead
+            at = (i * _GOLDEN + (turn * 97 + v) * _GOLDEN**2) % 1
+            while room > 0:
+                at = (at + _GOLDEN) % 1
+                if room <= near or not below[room]:
+                    parts += _closing(room, lengths, has, at)
                     break
-                if room - ordered[k] <= (1 - WINDOW) * capacity or len(chosen) == DEPTH - 1:
-                    chosen.append(int(order[k]))
-                    room -= ordered[k]
-                    break
-                fits = np.flatnonzero(sizes <= room)
-                p = weight[fits]
-                pick = int(rng.choice(fits, p=p / p.sum()))
-                chosen.append(pick)
-                room -= sizes[pick]
-            if room <= (1 - WINDOW) * capacity:
-                out[tuple(sorted(chosen))] = None
-            if len(out) >= COMBINATIONS:
-                break
-    table = np.zeros((len(sizes), len(out)))
-    for j, combo in enumerate(out):
-        for i in combo:
-            table[i, j] += 1
-    return table
+                pick = min(int(lengths[np.searchsorted(share, at)]), int(below[room]))
+                parts.append(pick)
+                room -= pick
+            if WINDOW * capacity <= sum(parts) <= capacity:
+                out[tuple(sorted(parts))] = None
+    return [{n: parts.count(n) for n in set(parts)} for parts in out]
+
+
+def _closing(room: int, lengths: np.ndarray, has: np.ndarray, at: float) -> list[int]:
+    """One length, or two, that fill the room; else the longest that fits."""
+    fits = lengths[: np.searchsorted(lengths, room, side="right")]
+    if not len(fits):
+        return []
+    pairs = fits[has[room - fits] & (room - fits > 0)]
+    if has[room] and (not len(pairs) or at < 0.5):
+        return [room]
+    if len(pairs):
+        first = int(pairs[int(at * len(pairs))])
+        return [first, room - first]
+    return [int(fits[-1])]
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 5) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (repeats, [(length, how many)]) that use up the histogram exactly."""
     left = {int(n): int(c) for n, c in zip(lengths, counts) if c > 0}
     patterns: list[tuple[int, list[tuple[int, int]]]] = []
-    if left.pop(capacity, None):
-        patterns.append((int(counts[lengths == capacity].sum()), [(capacity, 1)]))
-    if len(left) > 1:
-        patterns += _topped_up(_by_least_squares(left, capacity, np.random.default_rng(seed)), left, capacity)
-    return patterns + _greedy(left, capacity)
+    if full := left.pop(capacity, None):
+        patterns.append((full, [(capacity, 1)]))
+    return patterns + _by_least_squares(left, capacity) + _greedy(left, capacity)
 
 
-def _by_least_squares(left: dict[int, int], capacity: int, rng: np.random.Generator) -> list[tuple[int, list[tuple[int, int]]]]:
+def _by_least_squares(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns of rounded least squares; takes what they use from ``left``."""
-    lengths = np.array(sorted(left))
-    counts = np.array([left[n] for n in lengths])
-    # classes of about equal counts, split where lengths differ
-    edges = np.searchsorted(np.cumsum(counts), np.linspace(0, counts.sum(), min(CLASSES, len(lengths)) + 1)[1:-1])
-    owner = np.searchsorted(np.unique(edges), np.arange(len(lengths)), side="left")
-    groups = [np.flatnonzero(owner == k) for k in np.unique(owner)]
-    sizes = np.array([lengths[g[-1]] for g in groups])
-    amounts = np.array([counts[g].sum() for g in groups], "float64")
-    table = combinations(sizes, amounts, capacity, rng)
-    if not table.shape[1]:
-        return []
-    repeats = np.floor(nnls(table, amounts)).astype("int64")
-    # members of a class are used up longest first
-    stock = [[(int(lengths[i]), int(counts[i])) for i in g] for g in groups]
+    kept: dict[int, int] = {}
+    room = int(SHORTEST * sum(left.values()))
+    for n in sorted(left):
+        kept[n] = min(room, left[n])
+        room -= kept[n]
+        left[n] -= kept[n]
     patterns = []
-    for j in np.argsort(-repeats):
-        todo = int(repeats[j])
-        need = [(int(i), int(table[i, j])) for i in np.flatnonzero(table[:, j])]
-        while todo > 0 and all(stock[i] for i, _ in need):
-            # as often as the current lengths of the classes last
-            times = min(todo, min(stock[i][-1][1] // m for i, m in need))
-            if times == 0:
-                # one container across the end of a length
-                parts = []
-                if any(sum(c for _, c in stock[i]) < m for i, m in need):
-                    break
-                for i, m in need:
-                    while m:
-                        n, c = stock[i][-1]
-                        used = min(m, c)
-                        parts = list((dict(parts) | {n: dict(parts).get(n, 0) + used}).items())
-                        stock[i][-1] = (n, c - used)
-                        if c == used:
-                            stock[i].pop()
-                        m -= used
-                times = 1
-            else:
-                parts = [(stock[i][-1][0], m) for i, m in need]
-                for i, m in need:
-                    n, c = stock[i][-1]
-                    stock[i][-1] = (n, c - m * times)
-                    if c == m * times:
-                        stock[i].pop()
-            patterns.append((times, parts))
-            todo -= times
-            for n, m in parts:
-                left[n] -= m * times
+    for turn in range(ROUNDS):
+        lengths = np.array(sorted(n for n, c in left.items() if c), "int64")
+        if len(lengths) < 2:
+            break
+        counts = np.array([left[n] for n in lengths.tolist()])
+        combos = combinations(lengths, counts, capacity, turn)
+        if not combos:
+            break
+        place = {n: i for i, n in enumerate(lengths.tolist())}
+        entries = np.array([(place[n], j, m) for j, combo in enumerate(combos) for n, m in combo.items()])
+        repeats = nnls(entries[:, 0], entries[:, 1], entries[:, 2].astype("float64"), counts.astype("float64"), len(combos))
+        # to the next whole number; where none reaches one half, those that come nearest are used once
+        least = min(0.5, float(np.quantile(repeats, 0.75)))
+        for j in np.argsort(-repeats, kind="stable").tolist():
+            if repeats[j] < least or repeats[j] <= 0:
+                break
+            times = min(max(1, round(repeats[j])), min(left[n] // m for n, m in combos[j].items()))
+            if times > 0:
+                patterns.append((times, list(combos[j].items())))
+                for n, m in combos[j].items():
+                    left[n] -= m * times
+    for n, c in kept.items():
+        left[n] += c
     for n in [n for n, c in left.items() if not c]:
         del left[n]
     return patterns
 
 
-def _topped_up(patterns: list[tuple[int, list[tuple[int, int]]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns with what still fits into their containers, largest rooms first; takes it from ``left``."""
-    lengths = sorted(left)
-    counts = [left[n] for n in lengths]
-    room_of = lambda parts: capacity - sum(n * m for n, m in parts)
-    out, todo = [], sorted(patterns, key=lambda p: room_of(p[1]))
-    while todo:
-        times, parts = todo.pop()
-        room = room_of(parts)
-        k = bisect_right(lengths, room) - 1
-        while k >= 0 and not counts[k]:
-            k -= 1
-        if k < 0:
-            out.append((times, parts))
-            continue
-        some = min(times, counts[k])
-        counts[k] -= some
-        if some < times:
-            todo.append((times - some, parts))
-        insort(todo, (some, _added(parts, lengths[k])), key=lambda p: room_of(p[1]))
-        if not counts[k]:
-            del lengths[k], counts[k]
-    left.clear()
-    left.update(zip(lengths, counts))
-    return out
-
-
-def _added(parts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    merged = dict(parts)
-    merged[length] = merged.get(length, 0) + 1
-    return list(merged.items())
-
-
 def _greedy(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Longest first, each time the longest that still fits; equal containers at once."""
     lengths = np.array(sorted(left), "int64")
@@ -257,7 +210,9 @@ def pack(items: DataFrame, record: str, size: str, capacities: list[tuple[int, i
             first += times
     ranked = parts.withColumn("within", F.row_number().over(Window.partitionBy("limit_id", "n_tokens", "bucket").orderBy("record", "part_no")) - 1)
     ranked = ranked.join(starts, ["limit_id", "n_tokens", "bucket"]).withColumn("rank", F.col("start") + F.col("within"))
-    # the plan is bounded by lengths and combinations, not by items
-    table = F.broadcast(spark.createDataFrame(slots, "limit_id int, n_tokens long, low long, high long, each long, first long"))
+    # the plan is bounded by lengths, combinations and rounds, not by items; a row takes some 50 bytes
+    table = spark.createDataFrame(slots, "limit_id int, n_tokens long, low long, high long, each long, first long")
+    if len(slots) <= SMALL:
+        table = F.broadcast(table)
     found = ranked.join(table, (ranked["limit_id"] == table["limit_id"]) & (ranked["n_tokens"] == table["n_tokens"]) & (ranked["rank"] >= table["low"]) & (ranked["rank"] < table["high"]))
     return found.select(ranked["limit_id"], "record", "part_no", ranked["n_tokens"], (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("long").alias("container"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiarc.llm import leaked_items, pieces, queries, similar_vectors, tokens, uniform_text
+from lexiarc.llm import leaked_items, packing, pieces, queries, similar_vectors, tokens, uniform_text
 
 SHAPES = {
     "p1_found": {"page_id": "bigint", "noise": "string"},
@@ -81,7 +81,8 @@ def test_p8_assignment_is_whole(spark, sf_dir):
         assert own.groupby("doc_id").n_tokens.sum().to_dict() == sizes
         used = own.groupby("container").n_tokens.sum()
         assert used.max() <= capacity
-        assert len(used) <= 1.05 * used.sum() / capacity + 2
+        lengths, counts = np.unique(own.n_tokens[own.n_tokens > 0], return_counts=True)
+        assert len(used) <= sum(t for t, _ in packing._greedy(dict(zip(lengths.tolist(), counts.tolist())), capacity))
         split = own.groupby("doc_id").size()
         assert all(sizes[d] > capacity for d in split[split > 1].index)
 

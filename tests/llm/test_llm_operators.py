@@ -93,7 +93,22 @@ def test_least_squares_are_not_negative():
     rng = np.random.default_rng(0)
     a = rng.random((12, 6))
     x = np.abs(rng.normal(size=6)) * 50
-    assert np.allclose(a @ packing.nnls(a, a @ x, 3000), a @ x, rtol=0.1, atol=5)
+    row, column = (v.ravel() for v in np.indices(a.shape))
+    got = packing.nnls(row, column, a.ravel(), a @ x, 6, 5000)
+    assert (got >= 0).all() and np.allclose(a @ got, a @ x, rtol=0.1, atol=5)
+
+
+def test_least_squares_do_the_packing():
+    """Most items go where least squares put them, in no more containers than greedy packing needs."""
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(900, 12 + rng.lognormal(5, 0.8, 20_000).astype("int64"))
+    for capacity in (1000, 3000):
+        lengths, counts = np.unique(sizes, return_counts=True)
+        left = dict(zip(lengths.tolist(), counts.tolist()))
+        placed = sum(t * m for t, parts in packing._by_least_squares(dict(left), capacity) for _, m in parts)
+        greedy = sum(t for t, _ in packing._greedy(dict(left), capacity))
+        assert placed >= 0.9 * len(sizes)
+        assert sum(t for t, _ in packing.plan(lengths, counts, capacity)) <= greedy
 
 
 def test_packing_of_odd_rows(spark):

@@ -130,6 +130,28 @@ def _composed(cluster: Column) -> Column:
     return F.when(F.size(cluster) == 1, head).otherwise(F.aggregate(F.slice(cluster, 2, F.size(cluster)), start, step, lambda s: F.concat(s["base"], s["rest"])))
 
 
+#: Hangul syllables in code order, made of a leading consonant, a vowel and up to one of the trailing consonants.
+_SYLLABLES = "".join(map(chr, range(0xAC00, 0xD7A4)))
+_LEADING, _VOWELS, _TRAILING = ("".join(map(chr, range(*r))) for r in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
+
+
+def _hangul_composed(text: Column) -> Column:
+    """Conjoining letters of Hangul as syllables, by the arithmetic of their code points."""
+    at = lambda signs, ch: F.instr(F.lit(signs), ch) - 1
+    syllable = lambda i: F.substr(F.lit(_SYLLABLES), i + 1, F.lit(1))
+
+    def step(state: Column, ch: Column) -> Column:
+        last = state["last"]
+        lead, vowel, tail, open_ = at(_LEADING, last), at(_VOWELS, ch), at(_TRAILING, ch), at(_SYLLABLES, last)
+        met = F.when((last != "") & (lead >= 0) & (vowel >= 0), syllable((lead * 21 + vowel) * 28))
+        met = met.when((last != "") & (open_ >= 0) & (open_ % 28 == 0) & (tail >= 0), syllable(open_ + tail + 1))
+        return F.struct(F.when(met.isNull(), F.concat(state["done"], last)).otherwise(state["done"]).alias("done"), F.coalesce(met, ch).alias("last"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(text.rlike("[\u1161-\u1175\u11a8-\u11c2]"), F.aggregate(letters, start, step, lambda x: F.concat(x["done"], x["last"]))).otherwise(text)
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
@@ -172,7 +194,7 @@ def uniform_pieces(pieces: DataFrame, key: list[str], piece: str) -> DataFrame:
     clusters = single.groupBy(*key, "cluster").agg(marks.alias("m")).where(F.size("m") > 0)
     clusters = clusters.select(*key, "cluster", _composed(F.col("m")).alias("text"))
     rebuilt = clusters.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "text"))), lambda x: x["text"]), "").alias("plain"))
-    return pieces.join(rebuilt, key, "left").select(*key, piece, F.coalesce("plain", F.lit("")).alias("plain")).where(F.col(piece) != F.col("plain"))
+    return pieces.join(rebuilt, key, "left").select(*key, piece, _hangul_composed(F.coalesce("plain", F.lit(""))).alias("plain")).where(F.col(piece) != F.col("plain"))
 
 
 def _script() -> Column:

@@ -1,7 +1,8 @@
 """Problem 7: texts that stop before they are complete.
 
-A text's ending is read by a small automaton: broken bytes or escapes or an
-ellipsis at the end, brackets and quotes that its last paragraph opens and never closes, and
+A text is read by a stack automaton: brackets, quotes, elements of markup and code
+fences that it opens and never closes.  Its ending shows broken bytes or escapes or an
+ellipsis, and
 then, by the kind of its last line, a missing end - a sentence without its mark,
 a table row without its bar, a list item that is shorter than the others or than
 its counterpart in the page's source text, a number that goes on there.
@@ -26,6 +27,7 @@ _ITEM = r"^\s*([-*•‣▪]|\d{1,3}[.)])\s"
 _BROKEN = r"(\x{FFFD}+|&#?\w{0,8}|\\(u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|%[0-9A-Fa-f]?|<[^<>\n]{0,200})\s*$"
 # an ellipsis behind something that isn't a whole sentence marks the cut itself
 _ELIDED = r"\s*[\[(]?(\.{3,}|…)[\])]?$"
+_ENDS_OF_ELEMENTS = r"(\s*</[A-Za-z][A-Za-z0-9]*\s*>)+$"
 _DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
 _BLANK = " \t\n\r\u000b\u000c\u00a0\u200e\u200f\ufeff"
@@ -38,19 +40,38 @@ PATTERN_SHARE = 0.02
 RULE_SHARE = 0.5
 
 
+# Elements of markup that have no end.
+_EMPTY = ("br", "hr", "img", "input", "meta", "link", "wbr", "col")
+#: What goes on the stack: fences, tags, brackets, quotes; a straight quote behind a digit is a unit.
+_SIGNS = r"(?m)^\s*```|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?>|[()\[\]{}«»“”]|(?<!\d)\""
+
+
 def _unclosed(text: Column) -> Column:
-    """Whether brackets or guillemets are open at the end: a stack over those signs."""
-    signs = F.split(F.regexp_replace(text, r"[^()\[\]{}«»“”]", ""), "")
+    """Whether brackets, quotes, elements or fences are open at the end of a text.
+
+    An end without its beginning is passed over, as in numbering like ``a)``; the end of an
+    element also closes what it holds.
+    """
+    signs = F.transform(F.regexp_extract_all(text, F.lit(_SIGNS), F.lit(0)), lambda x: F.trim(x))
+    tag = lambda x: F.lower(F.regexp_extract(x, r"^</?([A-Za-z0-9]+)", 1))
 
     def step(stack: Column, sign: Column) -> Column:
-        closes = F.translate(sign, ")]}»”", "([{«“")
+        top = F.get(stack, F.size(stack) - 1)
+        less = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        opens = F.concat(stack, F.array(sign))
+        begins = F.concat(F.lit("<"), tag(sign))
+        place = F.size(stack) - F.array_position(F.reverse(stack), begins) + 1
+        same = F.translate(sign, ")]}»”", "([{«“")
         return (
-            F.when(sign.isin("(", "[", "{", "«", "“"), F.concat(stack, sign))
-            .when((closes != sign) & (F.right(stack, F.lit(1)) == closes), F.left(stack, F.length(stack) - 1))
+            F.when(sign.isin("```", '"'), F.when(top.eqNullSafe(sign), less).otherwise(opens))
+            .when(sign.startswith("</"), F.when(F.array_contains(stack, begins), F.slice(stack, 1, (place - 1).cast("int"))).otherwise(stack))
+            .when(sign.startswith("<"), F.when(tag(sign).isin(*_EMPTY) | sign.endswith("/>"), stack).otherwise(F.concat(stack, F.array(begins))))
+            .when(same == sign, opens)
+            .when(top.eqNullSafe(same), less)
             .otherwise(stack)
         )
 
-    return F.when(text.rlike(r"[(\[{«“]"), F.length(F.aggregate(signs, F.lit(""), step)) > 0).otherwise(False)
+    return F.when(text.rlike('[(\\[{«“<`"]'), F.size(F.aggregate(signs, F.array().cast("array<string>"), step)) > 0).otherwise(False)
 
 
 def _numbers(text: Column) -> Column:
@@ -68,7 +89,7 @@ def endings(df: DataFrame, record: str, text: str, source_text: str, source: str
     rows = df.select(F.col(record).cast("long").alias("record"), F.col(source).alias("source_id"), F.rtrim(F.col(text), F.lit(_BLANK)).alias("t"), F.col(source_text).alias("source")).where(F.col("record").isNotNull() & F.col("t").isNotNull() & (F.length("t") > 0))
     rows = rows.withColumn("line", F.ltrim(F.substring_index(F.replace("t", F.lit("\r"), F.lit("\n")), "\n", -1), F.lit(_BLANK)))
     rows = rows.withColumn("before", F.expr("right(left(t, length(t) - length(line)), 200)"))
-    rows = rows.withColumn("paragraph", F.substring_index("t", "\n\n", -1)).withColumn("tail", F.right("t", F.lit(220)))
+    rows = rows.withColumn("tail", F.regexp_replace(F.right("t", F.lit(220)), _ENDS_OF_ELEMENTS, ""))
     item = F.col("line").rlike(_ITEM)
     # the item's counterpart is the source's item of the same number
     items = F.filter(F.split("t", r"\r?\n"), lambda x: x.rlike(_ITEM))
@@ -97,7 +118,7 @@ def endings(df: DataFrame, record: str, text: str, source_text: str, source: str
     return rows.select(
         "record", "source_id", kind.alias("kind"),
         (F.col("tail").rlike(_BROKEN) | F.col("tail").rlike(_ELIDED) & ~F.regexp_replace("tail", _ELIDED, "").rlike(_END)).alias("broken"),
-        _unclosed(F.col("paragraph")).alias("unclosed"),
+        _unclosed(F.col("t")).alias("unclosed"),
         F.when(item, F.coalesce(item_cut, F.lit(True))).otherwise(False).alias("item_cut"),
         F.when(table, ~F.col("line").rlike(r"\|.*\|$")).otherwise(False).alias("row_cut"),
         F.coalesce(goes_on, F.lit(False)).alias("goes_on"),

@@ -51,6 +51,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviating records' texts in the uniform form."""
+    parts = [uniform_text.uniform_text(read(spark, sf_dir, table), "id", text).select(F.lit(kind).alias("record_kind"), F.col("record").alias("record_id"), "plain_text") for kind, table, text in (("term", "terminology", "term"), ("page", "pages", "original_content"))]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- problem 4 --------------------------------------------------------------------------------
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.copy_pairs(read(spark, sf_dir, "terminology"), "id", ["document_id"], ["term", "translation_en"])
@@ -153,7 +159,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumnRenamed("record", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_neighbours, p3_found, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p6_found, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_neighbours, p3_found, p3_texts, p4_found, p4_collapsed, p5_found, p5_counts, p5_page_tokens, p6_found, p7_found, p7_rates, p8_containers, p8_fill, p9_found, p9_items, p10_pieces)}
 
 _P4_FORM = r"""(SELECT id, document_id, list_sort([
     coalesce('=' || regexp_replace(lower(term), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '-'),

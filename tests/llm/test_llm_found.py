@@ -136,6 +136,22 @@ def test_uniform_text_gives_plain_forms(spark):
     assert {r["record"] for r in uniform_text.deviating(df, "id", "t").collect()} == set(got) | {12}
 
 
+def test_texts_come_from_the_records_that_deviate(spark, sf_dir):
+    """The uniform form deviates no more, has the letters that composition gives, and is there for every record found."""
+    rows = queries.p3_texts(spark, sf_dir).cache()
+    found = queries.p3_found(spark, sf_dir)
+    assert rows.select("record_kind", "record_id").distinct().exceptAll(found).isEmpty() and found.exceptAll(rows.select("record_kind", "record_id").distinct()).isEmpty()
+    assert uniform_text.deviating(rows, "record_id", "plain_text").isEmpty()
+    assert all(unicodedata.is_normalized("NFC", r["plain_text"]) for r in rows.collect())
+
+
+def test_hangul(spark):
+    words = ["한국어", "가각갂", "값 없다", "뷁"]
+    rows = [(i, unicodedata.normalize("NFD", w)) for i, w in enumerate(words)] + [(10, words[0]), (11, "가\u11a8")]
+    got = {r["record"]: r["plain_text"] for r in uniform_text.uniform_text(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got == {**dict(enumerate(words)), 11: "각"}
+
+
 def test_uniform_text_of_long_text(spark):
     text = "word " * 40_000 + "ｗord"
     df = spark.createDataFrame([(1, text)], "id int, t string")

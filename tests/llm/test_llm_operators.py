@@ -208,6 +208,7 @@ def test_cut_texts(spark):
         (1, "A whole sentence.", None, False), (2, "A sentence that st", None, True), (3, "Done.\n\n- well of Kusota\n- tide of Mama", "- بئر في كوسوتا\n- مد في ماما", False),
         (4, "Done.\n\n- well of Kusota\n- tide of Ma", "- بئر في كوسوتا\n- مد في ماما", True), (5, "It covers 17.", "مساحة 17.3 كم", True), (6, "It is 17.", "عدد 17", False), (7, "Bytes �", None, True),
         (8, "Text.\n| a | 3 |", None, False), (9, "Text.\n| a | 3", None, True), (10, "Open (see below.", None, True), (11, None, None, None), (12, "", None, None), (13, "  \n", None, None), (14, "fro&am", None, True), (15, "It could be merged w...", None, True), (16, "All is said. ...", None, False), (17, "- a of Kus…", None, True),
+        (18, 'They said "it is done.', None, True), (19, 'They said "it is done."', None, False), (20, "<table><tr><td>One.</td></tr>", None, True), (21, "<p>One<br>two.</p>", None, False), (22, "```\nrun it.", None, True), (23, "```\nrun it.\n```\n\nDone.", None, False), (24, "An open (bracket.\n\nAnd on.", None, True), (25, 'A pipe of 3" is wide.', None, False),
     ]
     df = spark.createDataFrame([(i, t, s, 1) for i, t, s, _ in rows] * 2, "id int, t string, s string, doc int").withColumn("kind", F.lit(1)).withColumn("cut", F.lit(2))
     names = spark.createDataFrame([(1, "c"), (1, "c")], "doc int, collection string")
@@ -237,6 +238,34 @@ def test_alignment_of_merged_moved_and_missing():
     assert sentence_pairs.align(a, sentence_pairs.Side("", sentence_pairs.Reader()), {}, o) == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.floats(0.5, 9)), max_size=9, unique_by=lambda x: x[0]))
+def test_chain_is_the_heaviest(steps):
+    from itertools import combinations
+
+    anchors = [(i, j, s) for i, (j, s) in enumerate(steps)]
+    rising = [c for n in range(len(anchors) + 1) for c in combinations(anchors, n) if all(a[1] < b[1] for a, b in zip(c, c[1:]))]
+    best = max(sum(s for _, _, s in c) for c in rising)
+    got = sentence_pairs._chain(anchors)
+    weight = {(i, j): s for i, j, s in anchors}
+    assert abs(sum(weight[p] for p in got) - best) < 1e-9 and all(a[1] < b[1] for a, b in zip(got, got[1:]))
+
+
+def test_long_gaps_are_divided(monkeypatch):
+    a = sentence_pairs.Side(" ".join(f"On day {i} rain fell." for i in range(1000, 1400)), sentence_pairs.Reader())
+    b = sentence_pairs.Side(" ".join(f"Le jour {i} la pluie." for i in range(1000, 1400)), sentence_pairs.Reader())
+    pairs: set = set()
+    near = [{i: 1.0} for i in range(400)]
+    sentence_pairs._gap(0, 400, 0, 400, lambda i, j: float(i == j), near, pairs)
+    assert pairs == {(i, i) for i in range(400)}
+    assert sentence_pairs.align(a, b, {}, sentence_pairs.Options()) == [(i, i) for i in range(400)]
+
+
+def test_languages_by_their_frequent_words():
+    known = {"en": frozenset({"the", "of"}), "fr": frozenset({"le"}), "ar": frozenset({"في"})}
+    assert [sentence_pairs.language(t, known) for t in ("x " * 5000 + "the of le", "le", "كان في", "", "zz")] == ["en", "fr", "ar", "other", "other"]
+
+
 def test_pairs_of_odd_rows(spark):
     rows = [(1, "In 1990 a. In 1991 b.", "En 1990 a. En 1991 b."), (1, "In 1990 a. In 1991 b.", "En 1990 a. En 1991 b."), (2, None, "x."), (3, "x.", None), (4, "", " "), (None, "In 5.", "En 5.")]
     df = spark.createDataFrame(rows, "id int, s string, t string").withColumn("lang", F.lit(1)).withColumn("source", F.lit(1))

@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Without a least cosine the neighbours have cosines near 0.6, so more cells are asked and more books tell them apart.
-NEAREST = similar_vectors.Options(probe_scale=1.2, books=8, shortlist_share=0.2)
+NEAREST = similar_vectors.Options(probe_scale=0.85, books=8, shortlist=150, shortlist_share=0.2)
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

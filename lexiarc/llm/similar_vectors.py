@@ -187,6 +187,12 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (len(values) + 1) * width, width), pa.int32()), pa.array(values.ravel(), kind))
 
 
+def _codes(codes: np.ndarray, stored: np.ndarray) -> pa.Array:
+    """Codes of the rows that are stored; those that only ask need none."""
+    ends = np.concatenate([[0], np.cumsum(np.where(stored, codes.shape[1], 0))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes[stored].ravel(), pa.int32()))
+
+
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have a direction, scaled to length 1; which rows those are."""
     norm = np.sqrt((x.astype("float64") ** 2).sum(1))
@@ -325,7 +331,7 @@ def _visits(batch: pa.RecordBatch, books: Codebooks, parts: np.ndarray, turns: n
     take = pa.array(row)
     return pa.RecordBatch.from_arrays(
         [
-            kind.take(take), ids.take(take), _lists(x[row], pa.float32()), _lists(codes[row].astype("int32"), pa.int32()),
+            kind.take(take), ids.take(take), _lists(x[row], pa.float32()), _codes(codes[row].astype("int32"), stored),
             pa.array(np.linalg.norm(near, axis=1)[row], pa.float32()), pa.array(asked), pa.array(stored), pa.array(cell, pa.int32()), pa.array(part, pa.int32()),
         ],
         ["kind", "id", "v", "codes", "norm", "asks", "stored", "cell", "part"],

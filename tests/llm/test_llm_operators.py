@@ -274,6 +274,35 @@ def test_pairs_of_odd_rows(spark):
     assert sentence_pairs.sentence_pairs(df.limit(0), "id", "s", {"fr": "t"}).count() == 0
 
 
+def test_the_lexicon_is_learned_from_all_pages(spark, monkeypatch):
+    # the words "ember" and "braise" meet on four pages of 12,000, beside a name and a number of their own
+    def page(i):
+        word = ("ember", "braise") if i % 3000 == 7 else (f"stock{i % 50}", f"cave{i % 50}")
+        return i, f"Kusota{'abcdefghij'[i % 10]} {i} {word[0]} here.", f"Kusota{'abcdefghij'[i % 10]} {i} {word[1]} ici."
+
+    held, learned = [], sentence_pairs._learned
+    monkeypatch.setattr(sentence_pairs, "_learned", lambda *of: held.append(learned(*of)) or held[-1])
+    df = spark.createDataFrame([page(i) for i in range(12_000)], "id long, s string, t string")
+    sentence_pairs.sentence_pairs(df, "id", "s", {"fr": "t"})
+    entries = {(x, y): n for words in held[0][0].values() for x, own in words.items() for y, n in own}
+    assert entries["ember", "braise"] == entries["braise", "ember"] == 1.0
+
+
+def test_parallel_sentences_of_many_texts_are_those_of_each():
+    texts = [
+        ("Rain hit Kusota in 1990. Tibi holds 41 maps. The year 1777 was dry in Baha. Nothing else.", "وصل 1777 إلى باها. المطر في كوسوتا عام ١٩٩٠ و تيبي 41."),
+        ("Rain hit Kusota in 1990. Tibi holds 41 maps. The year 1777 was dry in Baha. Nothing else.", "Kusota 1990. Tibi 41. Baha 1777, Kusota."), ("", "x 5."), ("A 12 12 12. B 12.", "C 12. D 12."), ("In 5 the gar-\nden of Miro.", "5 Miro\u200b. No."),
+    ]
+    tokens, reader, want = sentence_pairs._Tokens(), sentence_pairs.Reader(), []
+    for n, (source, target) in enumerate(texts):
+        a, b = sentence_pairs.Side(source, reader), sentence_pairs.Side(target, reader)
+        want += [(n, a.words[i], b.words[j]) for i, j, _ in sentence_pairs._anchors(sentence_pairs._scores(a, b, {})[0], b.n, 3.0)]
+    of, sides = sentence_pairs._parallel(texts, tokens, 3.0)
+    names = list(tokens.words)
+    split = [[{names[w] for w in part} for part in np.split(flat, np.cumsum(sizes)[:-1])] for flat, sizes in sides]
+    assert len(want) > 4 and list(zip(of.tolist(), *split)) == want
+
+
 # ---- scans ----
 def _scan_rows():
     clean = "The harbour protocol covers the market and the school. A cross-border group compared the parcel register with the harbour protocol."

@@ -2,11 +2,12 @@
 
 1. Words are hashed to ``features`` columns; their document frequencies are
    counted over the whole corpus and give the inverse document frequencies.  The
-   same pass draws a sample of passages and writes it once.
-2. A randomised singular value decomposition of the TF-IDF passages is computed
-   in two distributed passes over the sample and the items: every task adds its
-   part of A'(A X) for a random, then for an orthonormal X, and the parts are
-   summed per block of columns.
+   same pass writes the columns of all words once.
+2. A randomised singular value decomposition of the TF-IDF passages, of all
+   documents and items, is computed in two distributed passes over these columns:
+   every task adds its part of A'(A X) for a random, then for an orthonormal X,
+   and the parts are summed per block of columns.
+   Columns that no item has tell no items apart: they have no weight in what follows.
 3. Every passage of every document - a new one begins every ``step`` words - asks
    for all passages of the items with at least ``cosine`` in the latent space.  An
    index of cells over the items' passages leaves out, by a bound on the angle,
@@ -48,10 +49,8 @@ _BLOCK = 1024
 class Options:
     """Tunables.
 
-    ``fit_documents`` and ``fit_each`` bound what the decomposition is fitted on: so
-    many documents drawn by hash, and so many passages of each; all items take
-    part in it, and the search covers all documents and items.  ``cosine`` is the
-    least of a candidate.  ``block_words`` bounds the items' words that
+    The decomposition is fitted on all passages of all documents and items; those of
+    documents don't overlap there.  ``cosine`` is the least of a candidate.  ``block_words`` bounds the items' words that
     are held at once; items with more are searched in several passes.
     """
 
@@ -64,8 +63,6 @@ class Options:
     paraphrase_cosine: float = 0.75
     paraphrase_answers: float = 0.25
     paraphrase_lcs: float = 0.5
-    fit_documents: int = 15_000
-    fit_each: int = 4
     block_words: int = 4_000_000
 
     @property
@@ -99,69 +96,112 @@ def _starts(n: int, width: int, step: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, n - width + 1, step), n - width))
 
 
+def _columns_of(passages: DataFrame, options: Options) -> np.ndarray:
+    """Whether any of the passages has a column."""
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(options.features, bool)
+        for batch in batches:
+            for flat in batch.column(0).to_pylist():
+                seen[np.frombuffer(flat, _kind(options))] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int64())], ["column"])
+
+    out = np.zeros(options.features, bool)
+    out[[r["column"] for r in passages.mapInArrow(used, "column long").distinct().collect()]] = True
+    return out
+
+
+#: Characters of texts whose words are held at once.
+_CHARACTERS = 1_000_000
+
+
+def _chunks(texts: list[str]) -> Iterator[list[list[str]]]:
+    """The words of each text, some texts at a time."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > _CHARACTERS or i == len(texts) - 1:
+            yield [words(t) for t in texts[start : i + 1]]
+            start, size = i + 1, 0
+
+
 def _counted(docs: DataFrame, options: Options) -> tuple[np.ndarray, int, DataFrame]:
-    """Documents per column, their number, and the sample: ``record``, ``passage`` as columns.
+    """Documents per column, their number, and all passages: ``words``, ``sizes``, the columns of many passages in a row and how many each has.
 
-    A drawn document gives every so-many-th of its passages, from a random one on.
+    A new passage begins where the last one ends; the last one of a document can be shorter.
     """
-    share = min(1.0, options.fit_documents / max(1, docs.count()))
-    rows = docs.select("record", "text", (F.pmod(F.xxhash64("record", F.lit(29)), F.lit(1_000_000)) < round(share * 1_000_000)).alias("drawn"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, seen = _Columns(options.features), np.zeros(options.features + 1, "int64")
         for batch in batches:
-            passages = []
-            for record, text, drawn in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = [columns[w] for w in words(text)]
-                if tokens:
-                    seen[list(set(tokens))] += 1
-                    seen[-1] += 1
-                if drawn and tokens:
-                    starts = range(0, len(tokens), options.width)
-                    every = -(-len(starts) // options.fit_each)
-                    passages += [np.array(tokens[i : i + options.width], "int32").tobytes() for i in starts[record % every :: every]]
-            yield _counts([], [], passages)
+            for tokens in _chunks(batch.column(0).to_pylist()):
+                n = np.fromiter(map(len, tokens), "int64", len(tokens))
+                n, of = n[n > 0], int(n.sum())
+                if not of:
+                    continue
+                flat = np.fromiter(map(columns.__getitem__, chain.from_iterable(tokens)), "int64", of)
+                keys = np.sort(np.repeat(np.arange(len(n)), n) * options.features + flat)
+                keys = keys[np.append(True, keys[1:] != keys[:-1])]
+                seen[:-1] += np.bincount(keys % options.features, minlength=options.features)
+                seen[-1] += len(n)
+                passages = -(-n // options.width)
+                sizes = np.full(passages.sum(), options.width, "int64")
+                sizes[np.cumsum(passages) - 1] = n - (passages - 1) * options.width
+                yield _counts([], [], [(flat, sizes)], options)
         used = np.flatnonzero(seen)
-        yield _counts(used, seen[used], [])
+        yield _counts(used, seen[used], [], options)
 
-    out = cut_lineage(rows.mapInArrow(count, "column long, n long, passage binary"))
+    out = cut_lineage(docs.select("text").mapInArrow(count, "column long, n long, words binary, sizes binary"))
     sums = out.where("column is not null").groupBy("column").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(options.features + 1, "int64")
     seen[sums["column"].to_numpy("int64")] = sums["n"].to_numpy("int64")
-    return seen[:-1], int(seen[-1]), out.where("passage is not null").select("passage")
+    return seen[:-1], int(seen[-1]), out.where("words is not null").select("words", "sizes")
+
+
+def _counts(column: np.ndarray | list, n: np.ndarray | list, passages: list[tuple[np.ndarray, np.ndarray]], options: Options) -> pa.RecordBatch:
+    rest, own = [None] * len(passages), [None] * len(column)
+    columns = [pa.array([*column, *rest], pa.int64()), pa.array([*n, *rest], pa.int64())]
+    columns += [pa.array(own + list(x), pa.binary()) for x in zip(*(_packed(*p, options) for p in passages))] or [pa.array(own, pa.binary())] * 2
+    return pa.RecordBatch.from_arrays(columns, ["column", "n", "words", "sizes"])
+
 
+def _packed(flat: np.ndarray, sizes: np.ndarray, options: Options) -> tuple[bytes, bytes]:
+    return flat.astype(_kind(options)).tobytes(), sizes.astype("int32").tobytes()
 
-def _counts(column: np.ndarray | list, n: np.ndarray | list, passages: list[bytes]) -> pa.RecordBatch:
-    rest = [None] * len(passages)
-    columns = [pa.array([*column, *rest], pa.int64()), pa.array([*n, *rest], pa.int64()), pa.array([None] * len(column) + passages, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["column", "n", "passage"])
+
+def _kind(options: Options) -> str:
+    """The type that holds a column."""
+    return "uint16" if options.features <= 1 << 16 else "int32"
 
 
 def _item_passages(items: DataFrame, options: Options) -> DataFrame:
-    """``passage`` as columns, of all items."""
+    """``words``, ``sizes`` as columns, of all passages of all items."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns(options.features)
         for batch in batches:
-            tokens = [[columns[w] for w in words(t)] for t in batch.column(1).to_pylist()]
-            parts = [np.array(t[s : s + options.width], "int32").tobytes() for t in tokens for s in _starts(len(t), options.width, options.item_step)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["passage"])
+            for tokens in _chunks(batch.column(1).to_pylist()):
+                coded = [np.array([columns[w] for w in t], "int64") for t in tokens]
+                parts = [t[s : s + options.width] for t in coded for s in _starts(len(t), options.width, options.item_step)]
+                if parts:
+                    flat, sizes = _packed(np.concatenate(parts), np.array([len(p) for p in parts]), options)
+                    yield pa.RecordBatch.from_arrays([pa.array([flat], pa.binary()), pa.array([sizes], pa.binary())], ["words", "sizes"])
 
-    return items.mapInArrow(cut, "passage binary")
+    return items.mapInArrow(cut, "words binary, sizes binary")
 
 
-def _gram_product(rows: list[np.ndarray], weights: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-    """Add A'(A x) of passages, given as column arrays, to ``out``; each passage has length 1."""
-    if not rows:
-        return
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    value = weights[flat]
-    norm = np.sqrt(np.bincount(owner, value**2, len(rows)))
-    value = (value / np.maximum(norm[owner], 1e-9)).astype("float32")
-    y = np.add.reduceat(x[flat] * value[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-    np.add.at(out, flat, y[owner] * value[:, None])
+def _gram_product(flat: np.ndarray, sizes: np.ndarray, weights: np.ndarray, scaled: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` A'(A x) of passages of length 1, given as the columns of all and how many each has.
+
+    ``scaled`` is x times the weights; ``out`` is yet to be multiplied by them.
+    """
+    bounds = np.cumsum(sizes) - sizes
+    squares = np.add.reduceat(weights[flat] ** 2, bounds)
+    y = np.add.reduceat(scaled[flat], bounds, axis=0) / np.maximum(squares, 1e-18)[:, None]
+    order = np.argsort(flat, kind="stable")
+    column = flat[order]
+    first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+    out[column[first]] += np.add.reduceat(y[np.repeat(np.arange(len(sizes)), sizes)[order]], first, axis=0)
 
 
 def _distributed_product(passages: DataFrame, weights: np.ndarray, x: np.ndarray, options: Options) -> tuple[np.ndarray, int]:
@@ -171,12 +211,17 @@ def _distributed_product(passages: DataFrame, weights: np.ndarray, x: np.ndarray
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, basis = held.value
+        scaled = basis * w[:, None]
         out, n = np.zeros_like(basis), 0
         for batch in batches:
-            rows = [np.frombuffer(b, "int32") for b in batch.column(0).to_pylist()]
-            for i in range(0, len(rows), 1500):
-                _gram_product(rows[i : i + 1500], w, basis, out)
-            n += len(rows)
+            for flat, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                flat, sizes = np.frombuffer(flat, _kind(options)), np.frombuffer(sizes, "int32")
+                bounds = np.append(0, np.cumsum(sizes, dtype="int64"))
+                for i in range(0, len(sizes), 1500):
+                    part = sizes[i : i + 1500]
+                    _gram_product(flat[bounds[i] : bounds[i + len(part)]], part, w, scaled, out)
+                n += len(sizes)
+        out *= w[:, None]
         starts = range(0, options.features, _BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([out[i : i + _BLOCK].tobytes() for i in starts]), pa.array([n] * len(starts))], ["block", "sums", "n"])
 
@@ -192,7 +237,7 @@ def _distributed_product(passages: DataFrame, weights: np.ndarray, x: np.ndarray
     return out, n
 
 
-def latent_space(drawn: DataFrame, own: DataFrame, weights: np.ndarray, options: Options, seed: int = 1) -> np.ndarray:
+def latent_space(passages: DataFrame, own: DataFrame, weights: np.ndarray, options: Options, seed: int = 1) -> np.ndarray:
     """Columns by ``rank``: right singular vectors of the TF-IDF passages.
 
     The items' passages weigh as much as the corpus's, so that the space spans what is searched for.
@@ -201,7 +246,7 @@ def latent_space(drawn: DataFrame, own: DataFrame, weights: np.ndarray, options:
     for _ in range(2):
         q, _ = np.linalg.qr(x)
         q = q.astype("float32")
-        x, n = _distributed_product(drawn, weights, q, options)
+        x, n = _distributed_product(passages, weights, q, options)
         mine, n_own = _distributed_product(own, weights, q, options)
         x += np.float32(max(1.0, n / max(1, n_own))) * mine
     # x = A'A q, so q'x is the Gram matrix in the found space
@@ -386,9 +431,11 @@ def leaks(docs: DataFrame, record: str, text: str, items: DataFrame, item: str,
     asked = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0)).groupBy("item").agg(F.min("text").alias("text"))
     asked = cut_lineage(asked)
     n_words = asked.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    frequency, n_docs, drawn = _counted(rows, options)
+    frequency, n_docs, passages = _counted(rows, options)
     weights = np.log((1 + n_docs) / (1 + frequency)).astype("float32") + np.float32(1)
-    scaled = latent_space(drawn, _item_passages(asked, options), weights, options) * weights[:, None]
+    own = _item_passages(asked, options)
+    # words that no item has tell no items apart, and are left out where a passage is compared with them
+    scaled = latent_space(passages, own, weights, options) * (weights * _columns_of(own, options))[:, None]
     blocks, out = 1 + n_words // options.block_words, None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("item", F.lit(31)), F.lit(blocks)) == b).orderBy("item").collect()

@@ -169,6 +169,24 @@ def test_leaks_of_odd_rows(spark):
     assert leaked_items.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_the_latent_space_is_fitted_on_all_passages(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 300, n)) for n in (1000, 33, 32, 5, 64)] + [" - ", ""]
+    options = leaked_items.Options(features=64, rank=8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "record long, text string")
+    frequency, n, passages = leaked_items._counted(docs, options)
+    columns = leaked_items._Columns(64)
+    coded = [[columns[w] for w in leaked_items.words(t)] for t in texts]
+    whole = [t[i : i + 32] for t in coded for i in range(0, len(t), 32)]
+    assert n == 5 and frequency.tolist() == [sum(c in t for t in coded) for c in range(64)]
+    # A'(A x) is that of every passage, the 32nd of a long text too
+    weights, x = rng.random(64).astype("float32") + 1, rng.normal(size=(64, 24)).astype("float32")
+    rows = np.array([np.bincount(p, minlength=64) * weights / np.sqrt((weights[p] ** 2).sum()) for p in whole])
+    got, found = leaked_items._distributed_product(passages, weights, x, options)
+    assert found == len(whole) == 38 and np.allclose(got, rows.T @ (rows @ x), rtol=1e-3, atol=1e-3)
+    assert leaked_items._distributed_product(passages.limit(0), weights, x, options)[0].any() == False  # noqa: E712
+
+
 def test_cells_leave_no_candidate_out():
     rng = np.random.default_rng(5)
     scaled = rng.normal(size=(512, 24)).astype("float32")
